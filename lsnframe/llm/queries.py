@@ -35,6 +35,12 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lsnframe.llm.language_id import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lsnframe.llm.substring_dedup import remove_repeats
 
@@ -47,6 +53,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lsnframe.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lsnframe.llm.decontamination import scan
 
@@ -57,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 
