@@ -29,6 +29,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lsnframe.llm.pii import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lsnframe.llm.embedding_dedup import near_vectors
 
@@ -53,6 +59,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lsnframe.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lsnframe.llm.quality import score
 
@@ -68,10 +80,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_pii": op3_pii,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
