@@ -1,28 +1,62 @@
-"""Cleans and encodes a corpus in stages, each written as Parquet and read again by the next."""
+"""Cleans and encodes a corpus in stages, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns of their input: texts
+whose language can't be told go, one document of each group of near copies stays (five-word
+shingles, similarity 0.8), documents that hold a benchmark window go, and secrets in texts are
+replaced.  The last one encodes the texts and returns doc_id, n_tokens and two digests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lsnframe.llm.queries import piece_model
+from lsnframe.llm.components import shared_folder
+from lsnframe.llm.decontamination import keep_clean
+from lsnframe.llm.language_id import keep_identified
+from lsnframe.llm.near_dedup import keep_one
+from lsnframe.llm.queries import piece_model, table
+from lsnframe.llm.secrets import redacted
 from lsnframe.llm.sentencepiece_codec import round_trip
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs, piece_model())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("sentencepiece", encode)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language), ("near_dedup", near_copies), ("decontamination", decontaminate), ("secret_scan", secrets), ("sentencepiece", encode),
+]
 
 #: Models and similarity joins are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages over the documents of a folder, with a written table in the shared folder between them."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
