@@ -8,7 +8,8 @@ them together and decides, word for word, which one starts first.
 Before anything is sent, each chunk of a task settles its own repeats: a window that also starts
 earlier in the same chunk is removed whatever else there is, and only the first one of each travels.
 So a passage in a third of all documents reaches its bucket once for every chunk, not for every
-document.  The super-k-mers of a chunk are packed and compressed together for each bucket.
+document.  Of these super-k-mers the minimisers meet first; only those whose minimiser another one
+has too travel as packed strings, compressed together for each chunk and bucket.
 
 A null or empty text has no words.  Rows with a null id keep all their words and count for nobody.
 Rows that share an id must be repeats of one row: a window never counts as earlier than itself, so
@@ -27,8 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.components import cut
 from lsnframe.llm.hashing import chunks, mix
 
+#: Characters that settle their repeats together before anything is sent.
+CHUNK = 4_000_000
 _ODD = (mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -105,102 +109,155 @@ def _marks(doc: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return doc[at], place[at], place[at + size - 1] + n
 
 
-def _pack(doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: bytes) -> bytes:
-    head = np.array([len(doc)], np.int64).tobytes() + doc.astype(np.int64).tobytes() + place.astype(np.int32).tobytes() + size.astype(np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + text)
+def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """Equally long arrays and a text, compressed."""
+    head = np.array([len(arrays[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(a.tobytes() for a in arrays), text]))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpack(blob: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int32, n, 8 + 8 * n), np.frombuffer(raw, np.int32, n, 8 + 12 * n), raw[8 + 16 * n :]
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out, raw[at:]
 
 
-def _chunk(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+#: Minimiser, document, first word and windows of a super-k-mer; ranges settled already have 0 windows.
+_SEEDS = (np.uint64, np.int64, np.int32, np.int32)
+
+
+def _by_bucket(bucket: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each bucket's rows, in order of ``second``."""
+    order = np.lexsort((second, bucket))
+    at, size = _runs(np.append(True, bucket[order][1:] != bucket[order][:-1])[: len(order)])
+    for lo, n in zip(at.tolist(), size.tolist(), strict=True):
+        yield int(bucket[order[lo]]), order[lo : lo + n]
+
+
+def _bucket_of(seeds: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(seeds) % np.uint64(buckets)).astype(np.int64)
+
+
+def _seeds(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets: int) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """(bucket, packed super-k-mers without their words, packed ranges settled within the chunk)."""
     words, lens = [], []
     for t in texts:
         w = words_of(t)
         words += w
         lens.append(len(w))
-    if len(words) < window:
-        return
     lens = np.array(lens)
     off = np.append(0, np.cumsum(lens))
-    ids, numbers = _numbered(words)
     windows = np.maximum(lens - window + 1, 0)
+    if not windows.sum():
+        return
+    ids, numbers = _numbered(words)
     doc_of = np.repeat(np.arange(len(lens)), windows)
     place = np.arange(len(doc_of)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = off[doc_of] + place
     doc = np.array(doc_ids, np.int64)[doc_of]
-    if not len(start):
-        return
     first = _firsts(ids, start, doc, place, window)
-    if not first.all():
-        d, a, b = _marks(doc[~first], place[~first], window)
-        yield int(mix(np.array([d[0]], np.uint64))[0] % np.uint64(buckets)), _pack(d, a, -b, b"")
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[ids]
-    seeds = _rolling(hashes, seed)
-    least = _leftmost_min(seeds, window - seed + 1)[start]
+    values = _rolling(hashes, seed)
+    least = _leftmost_min(values, window - seed + 1)[start]
     new = np.ones(len(start), bool)
     new[1:] = (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1])
     at, n = _runs(new)
-    sent = first[at]
-    at, n = at[sent], n[sent]
-    bucket = (mix(seeds[least[at]]) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((least[at], bucket))
-    at, n, bucket = at[order], n[order], bucket[order]
-    size = n + window - 1
-    text = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begin = np.append(0, ends)[start[at]].tolist()
-    stop = (ends[start[at] + size - 1] - 1).tolist()
-    packed = [text[a:b] for a, b in zip(begin, stop, strict=True)]
-    for lo, count in zip(*(x.tolist() for x in _runs(np.append(True, bucket[1:] != bucket[:-1]))), strict=True) if len(at) else ():
-        hi = lo + count
-        k = at[lo:hi]
-        yield int(bucket[lo]), _pack(doc[k], place[k], size[lo:hi], b" ".join(packed[lo:hi]))
-
-
-def repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, stop: word ranges covered by windows whose words also start earlier."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    at, n = at[first[at]], n[first[at]]
+    value = values[least[at]]
+    settled = None
+    if not first.all():
+        d, a, b = _marks(doc[~first], place[~first], window)
+        settled = _pack(d.astype(np.int64), a.astype(np.int32), b.astype(np.int32))
+    for bucket, k in _by_bucket(_bucket_of(value, buckets), value):
+        yield bucket, _pack(value[k], doc[at[k]], place[at[k]].astype(np.int32), n[k].astype(np.int32)), settled
+        settled = None
+    if settled:
+        yield 0, _pack(*(np.zeros(0, t) for t in _SEEDS)), settled
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """Of a bucket, the super-k-mers whose minimiser another one has too (seed), and ranges settled already (no seed)."""
+    parts = [_unpack(x, *_SEEDS)[0] for x in group.column("packed").to_pylist()]
+    value, doc, place, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.argsort(value, kind="stable")
+    v = value[order]
+    twin = np.zeros(len(v), bool)
+    twin[1:] = v[1:] == v[:-1]
+    twin[:-1] |= twin[1:]
+    k = order[twin]
+    out = {"doc_id": doc[k], "start": place[k], "stop": place[k] + n[k], "seed": value[k].view(np.int64)}
+    known = [_unpack(x, np.int64, np.int32, np.int32)[0] for x in group.column("settled").to_pylist() if x]
+    d, a, b = (np.concatenate([p[i] for p in known] + [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
+    seeds = pa.concat_arrays([pa.array(out["seed"], pa.int64()), pa.nulls(len(d), pa.int64())])
+    return pa.table({"doc_id": np.concatenate((out["doc_id"], d)), "start": np.concatenate((out["start"], a)).astype(np.int32), "stop": np.concatenate((out["stop"], b)).astype(np.int32), "seed": seeds})
+
+
+def _settle(group: pa.Table, window: int) -> pa.Table:
+    """Of a bucket of packed super-k-mers, the word ranges of windows that start earlier elsewhere."""
+    parts = [_unpack(x, np.int64, np.int32, np.int32) for x in group.column("packed").to_pylist()]
+    ids, _ = _numbered(b" ".join([p[1] for p in parts]).split(b" "))
+    doc0, place0, size = (np.concatenate([p[0][i] for p in parts]).astype(np.int64) for i in range(3))
+    n = size - window + 1
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.append(0, np.cumsum(size))[which] + step
+    doc, place = doc0[which], place0[which] + step
+    first = _firsts(ids, start, doc, place, window)
+    d, a, b = _marks(doc[~first], place[~first], window)
+    return pa.table({"doc_id": d.astype(np.int64), "start": a.astype(np.int32), "stop": b.astype(np.int32)})
+
+
+def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None) -> DataFrame:
+    """doc_id, start, stop: word ranges covered by windows whose words also start earlier.
+
+    rows: doc_id long, never null, and text.  First only the minimisers of super-k-mers meet; then
+    those that share theirs with another one travel as packed strings."""
     buckets = buckets or max(64, 16 * rows.rdd.getNumPartitions())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 16_000_000):
-                out = list(_chunk(ids[a:b], texts[a:b], window, seed, buckets))
+            for a, b in chunks(texts, CHUNK):
+                out = list(_seeds(ids[a:b], texts[a:b], window, seed, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "packed", "settled"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for lo, hi in chunks(columns[1], CHUNK):
+                doc, place, size, value, packed = [], [], [], [], []
+                for d, text, starts, stops, seeds in zip(*(c[lo:hi] for c in columns), strict=True):
+                    words = words_of(text)
+                    for a, b, v in zip(starts, stops, seeds, strict=True):
+                        doc.append(d)
+                        place.append(a)
+                        size.append(b - a + window - 1)
+                        value.append(v)
+                        packed.append(b" ".join(words[a : b + window - 1]))
+                d, p, s, v = np.array(doc, np.int64), np.array(place, np.int32), np.array(size, np.int32), np.array(value, np.int64)
+                out = [(k, _pack(d[i], p[i], s[i], text=b" ".join([packed[j] for j in i.tolist()]))) for k, i in _by_bucket(_bucket_of(v.view(np.uint64), buckets), v)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "packed"])
 
-    def settle(group: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in group.column("packed").to_pylist()]
-        known = [(d, a, -b) for d, a, b, text in parts if not text]
-        parts = [p for p in parts if p[3]]
-        if parts:
-            ids, _ = _numbered(b" ".join([p[3] for p in parts]).split(b" "))
-            doc0, place0, size = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
-            n = size - window + 1
-            which = np.repeat(np.arange(len(n)), n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            start = np.append(0, np.cumsum(size))[which] + step
-            doc, place = doc0[which], place0[which] + step
-            first = _firsts(ids, start, doc, place, window)
-            known.append(_marks(doc[~first], place[~first], window))
-        doc, a, b = (np.concatenate([k[i] for k in known]) for i in range(3))
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(a, pa.int32()), "stop": pa.array(b, pa.int32())})
-
-    sent = rows.mapInArrow(send, "bucket int, packed binary")
-    return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, start int, stop int")
+    sent = rows.mapInArrow(send, "bucket int, packed binary, settled binary")
+    found = cut(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, start int, stop int, seed long"))
+    wanted = found.where("seed IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
+    travelling = rows.join(wanted, "doc_id").mapInArrow(strings, "bucket int, packed binary")
+    settled = travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int")
+    return settled.unionAll(found.where("seed IS NULL").select("doc_id", "start", "stop"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and the kept words (text) if asked for."""
-    found = repeats(docs, window, seed, buckets, id_col, text_col).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = base.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = repeats(known, window, seed, buckets).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    none = F.lit(None).cast("array<int>")
+    rows = known.join(found, "doc_id", "left").unionAll(base.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text", none.alias("starts"), none.alias("stops")))
     kept_type = ", text string" if keep_text else ""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept_sha, kept = [], [], [], []
             for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
@@ -220,5 +277,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: in
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha, pa.string())] + [pa.array(kept, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string{kept_type}")
+    return rows.mapInArrow(kept_words, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_type}")
