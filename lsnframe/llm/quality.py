@@ -47,7 +47,7 @@ def recurrence(b: np.ndarray, place: np.ndarray) -> np.ndarray:
 def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts (each padded with zeros), the recurrence channel, and documents' bounds."""
     raw = [(t or "").encode() for t in texts]
-    padded = [r + b"\0" * (4 + -len(r) % 4) for r in raw]
+    padded = [r + b"\0" * (WIDTH + -len(r) % STRIDE) for r in raw]
     b = np.frombuffer(b"".join(padded) + b"\0" * WIDTH, np.uint8)
     size = np.array([len(p) for p in padded], np.int64)
     off = np.append(0, np.cumsum(size))
@@ -82,6 +82,7 @@ class Network:
         """Max-pooled filters of every half chunk, and the half chunks' documents."""
         a = self.windows(b, rec, None, int(off[-1])) @ self.p["w"] + self.p["b"]
         np.maximum(a, 0, out=a)
+        a[off[1:] // STRIDE - 1] = 0  # a document's last window would reach into the next document
         steps = np.diff(off) // STRIDE
         n = -(-steps // HALF)
         of = np.repeat(np.arange(len(steps)), n)
@@ -122,7 +123,7 @@ class Network:
                 begin.append(off[d] + s)
                 doc.append(d)
         begin, doc = np.array(begin), np.array(doc)
-        end = np.minimum(begin + span, off[doc + 1])
+        end = np.minimum(begin + span, off[doc + 1] - STRIDE)
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0

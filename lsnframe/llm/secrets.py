@@ -39,7 +39,7 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A
 _SIGN = re.compile("[=:]")
 _NAME = re.compile(r"(?:^|[^A-Za-z0-9])([A-Za-z0-9_.-]{0,20}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey)s?)[\"']?[ \t]{0,3}$", re.I)
 _VALUE = re.compile(r"[ \t]{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))")
-_LONG = re.compile(r"[A-Za-z0-9+/=_-]{20,}+")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}+={0,2}")
 _DIGIT, _UPPER, _LOWER = (re.compile(x) for x in ("[0-9]", "[A-Z]", "[a-z]"))
 KINDS = ("issued", "block", "jwt", "assigned", "long")
 _GOOD = re.compile(r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access|private|credential|auth|bearer|login", re.I)
@@ -91,10 +91,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     last: tuple[str, int, int] | None = None
     for c in sorted(out, key=lambda c: (c[1], rank[c[0]])):
         if last and c[1] < last[2]:
-            if rank[c[0]] < rank[last[0]] and c[0] != "long" and last[0] != "block":
-                taken[-1] = last = (c[0], min(c[1], last[1]), max(c[2], last[2]))
-            elif c[2] > last[2]:
-                taken[-1] = last = (last[0], last[1], c[2])
+            if last[0] == "long" and c[0] != "long":
+                taken[-1] = last = c  # the more telling pattern knows where the secret begins
+            elif c[2] > last[2] and c[0] != "long":
+                taken[-1] = last = (min(last[0], c[0], key=rank.get), last[1], c[2])
             continue
         taken.append(c)
         last = c
