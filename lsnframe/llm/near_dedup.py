@@ -9,8 +9,9 @@ larger, smaller and equal registers, and what passes (with five standard errors
 confirmed on the full sets.
 
 A key with many documents never yields all its pairs.  First every document is held against the
-smallest of its keys' documents; then only keys whose documents still lie in several components are
-looked at again, in blocks, for pairs across components.
+likeliest of its keys' smallest documents.  Then keys whose documents still lie in several components are looked
+at again, in blocks and with every document's shingles in 32 bits, for links that join components;
+this is repeated, without pairs that failed on the full sets, until no key has such a link.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability 3e-6.
 
@@ -135,7 +136,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
-    """The pairs that size and likelihood leave."""
+    """The pairs that size and likelihood leave, and their estimated similarity."""
     side = lambda c: unique.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y", "nx", "ny", "rx", "ry")
 
@@ -143,9 +144,9 @@ def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 j = estimate(_matrix(b.column(4)), _matrix(b.column(5)), b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
-                yield b.select([0, 1]).filter(pa.array(j >= _slack(percent / 100)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], ["x", "y", "j"]).filter(pa.array(j >= _slack(percent / 100)))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(run, "x long, y long, j double")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,35 +177,83 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long")
 
 
-def _across(shared: DataFrame, found: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components that share a key, each from the first key it shares."""
-    named = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-    still = named.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(still, ["key", "band"]).join(unique.select("rep", "n_shingles", "registers"), "rep")
+def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keyed documents with their components, and the keys that still hold several of these."""
+    named = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    still = named.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return named, still.select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def _short(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """rep and its shingles in 32 bits each: what these share bounds what the sets share, and hardly
+    ever differs from it."""
+    ids = cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                s, off = _sets(texts[a:b], k)
+                s = (s >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "short"])
+
+    return docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(make, "rep long, short binary")
+
+
+def _forest(t: pa.Table, percent: int) -> pa.Table:
+    """Of one key's documents (or two blocks of them), likely links that join components, no more than
+    it takes: once two components are joined here, their other pairs are passed over."""
+    lo, hi, own, band = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("own").to_numpy(), t.column("band")[0].as_py()
+    rep, n = (t.column(c).to_numpy() for c in ("rep", "n_shingles"))
+    _, comp = np.unique(t.column("component").to_numpy(), return_inverse=True)
+    regs = _matrix(t.column("registers"))
+    by_band = regs.reshape(len(regs), BANDS, ROWS)
+    flat = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("short")]
+    values, numbers = np.unique(np.concatenate(flat), return_inverse=True)
+    short = np.split(numbers, np.cumsum([len(x) for x in flat])[:-1])
+    failed = [set(f or ()) for f in t.column("failed").to_pylist()]
+    left = np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    fewest = int(REGISTERS * percent / 100 - 6 * (REGISTERS * percent / 100 * (1 - percent / 100)) ** 0.5)
+    mine = np.zeros(len(values), bool)
+    xs, ys = [], []
+    for i in left.tolist():
+        j = right[rep[right] > rep[i]] if lo == hi else right
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        if failed[i]:
+            j = j[[r not in failed[i] for r in rep[j].tolist()]]
+        if len(j):
+            j = j[(regs[j] == regs[i]).sum(1) >= fewest]
+        if len(j) and band:  # pairs that share an earlier band meet there
+            j = j[~(by_band[j, :band] == by_band[i, :band]).all(2).any(1)]
+        if len(j):
+            j = j[estimate(regs[j], np.broadcast_to(regs[i], regs[j].shape), n[j].astype(float), np.full(len(j), float(n[i]))) >= _slack(percent / 100)]
+        if not len(j):
+            continue
+        mine[short[i]] = True
+        both = np.array([np.count_nonzero(mine[short[q]]) for q in j.tolist()])
+        mine[short[i]] = False
+        near = 100 * both >= percent * (n[j] + n[i] - both)
+        for q in j[near][np.argsort(-both[near] / (n[j][near] + n[i] - both[near]), kind="stable")].tolist():
+            if comp[q] != comp[i]:
+                comp[comp == comp[q]] = comp[i]
+                xs.append(rep[i])
+                ys.append(rep[q])
+    return pa.table({"x": pa.array(np.array(xs, np.int64)), "y": pa.array(np.array(ys, np.int64))})
+
+
+def _across(named: DataFrame, still: DataFrame, unique: DataFrame, short: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
+    """Likely links between components that share a key."""
+    rows = named.join(still, ["key", "band"]).join(unique.select("rep", "n_shingles", "registers"), "rep").join(short, "rep")
+    if failed is None:
+        rows = rows.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        both = failed.unionAll(failed.select("y", "x")).groupBy(F.col("x").alias("rep")).agg(F.collect_set("y").alias("failed"))
+        rows = rows.join(both, "rep", "left")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "leader", "component", "n_shingles", "registers")
-
-    def compare(t: pa.Table) -> pa.Table:
-        lo, hi, own, band = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("own").to_numpy(), t.column("band")[0].as_py()
-        rep, comp, lead, n = (t.column(c).to_numpy() for c in ("rep", "component", "leader", "n_shingles"))
-        regs = _matrix(t.column("registers"))
-        by_band = regs.reshape(len(regs), BANDS, ROWS)
-        left = np.flatnonzero(own == lo)
-        right = left if lo == hi else np.flatnonzero(own == hi)
-        xs, ys = [], []
-        for i in left.tolist():
-            j = right[rep[right] > rep[i]] if lo == hi else right
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (rep[j] != lead[i]) & (lead[j] != rep[i])]
-            if len(j) and band:
-                j = j[~(by_band[j, :band] == by_band[i, :band]).all(2).any(1)]
-            if len(j):
-                j = j[estimate(regs[j], np.broadcast_to(regs[i], regs[j].shape), n[j].astype(float), np.full(len(j), float(n[i]))) >= _slack(percent / 100)]
-                xs.append(np.full(len(j), rep[i]))
-                ys.append(rep[j])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"x": pa.array(np.concatenate([*xs, empty]), pa.int64()), "y": pa.array(np.concatenate([*ys, empty]), pa.int64())})
-
-    return rows.groupBy("key", "band", "lo", "hi").applyInArrow(compare, "x long, y long")
+    rows = rows.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "n_shingles", "registers", "short", "failed")
+    return rows.groupBy("key", "band", "lo", "hi").applyInArrow(lambda t: _forest(t, percent), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,13 +265,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keyed = unique.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = cut(keyed.join(leaders.select("key", "leader"), "key").select("key", "band", "rep", "leader"))
-    to_leader = cut(_likely(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), unique, percent))
+    stars = _likely(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), unique, percent)
+    # one leader for each document is enough to begin with: what else it links with is found across components
+    to_leader = cut(stars.groupBy("x").agg(F.max(F.struct("j", -F.col("y"))).alias("top")).select("x", (-F.col("top.col2")).alias("y")))
     links = cut(_confirm(to_leader, docs, k, percent))
     found = components(links, "x", "y")
-    across = cut(_across(shared, found, unique, percent).distinct())
-    more = cut(_confirm(across, docs, k, percent)) if not across.isEmpty() else across
-    if not more.isEmpty():
-        found = components(links.unionAll(more), "x", "y")
+    named, still = _named(shared, found)
+    short, failed = None, None
+    while True:
+        still = cut(still)
+        if still.isEmpty():
+            break
+        if short is None:  # keys only ever close, so later rounds need no others
+            short = cut(_short(docs, named.join(still, ["key", "band"]).select("rep").distinct(), k))
+        across = cut(_across(named, still, unique, short, failed, percent).distinct())
+        if across.isEmpty():
+            break
+        more = cut(_confirm(across, docs, k, percent))
+        wrong = across.exceptAll(more)
+        links = cut(links.unionAll(more))
+        found = components(links, "x", "y")
+        wrong = cut(wrong)
+        if wrong.isEmpty():  # every pair passed over lies in one component, every other one was judged
+            break
+        failed = cut(wrong if failed is None else failed.unionAll(wrong))
+        named, still = _named(shared, found)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
