@@ -243,7 +243,9 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
     sent = rows.mapInArrow(send, "bucket int, packed binary, settled binary")
     found = cut(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, start int, stop int, seed long"))
     wanted = found.where("seed IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
-    travelling = rows.join(wanted, "doc_id").mapInArrow(strings, "bucket int, packed binary")
+    # other names, so that the shuffle of the rows by id looks like the caller's and is done once
+    again = rows.select(F.col("doc_id").alias("d"), F.col("text").alias("t"))
+    travelling = again.join(wanted, F.col("d") == F.col("doc_id")).select("d", "t", "start", "stop", "seed").mapInArrow(strings, "bucket int, packed binary")
     settled = travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int")
     return settled.unionAll(found.where("seed IS NULL").select("doc_id", "start", "stop"))
 
