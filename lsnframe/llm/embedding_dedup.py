@@ -142,7 +142,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, pivots: int | None
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = each.join(F.broadcast(lists), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "perm", "vector", "blocks")
-    task = F.when(F.col("blocks") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod("key", F.lit(max(64, n // 500))).cast("long"))
+    task = F.when(F.col("blocks") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(64, n // 500))))
     count = len(at)
     found = cut(dealt.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(lambda t: _links(t, threshold, kind, count), "rep long, links long, root long"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
