@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.components import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,15 +56,22 @@ def _hits_sql(by_length: dict[int, list[str]], spark) -> str:
     return f"concat({', '.join(found)})"
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_windows: int = 100_000) -> DataFrame | None:
-    """docs with the columns w and hits, made without a shuffle; None if the benchmark is too large to send."""
-    table = benchmark_windows(benchmark, window).select("n", "window")
-    rows = table.limit(most_windows + 1).collect()
+def _by_length(benchmark: DataFrame, window: int, most_windows: int = 100_000) -> dict[int, list[str]] | None:
+    """The windows of each length; None if there are too many to send."""
+    rows = benchmark_windows(benchmark, window).select("n", "window").limit(most_windows + 1).collect()
     if len(rows) > most_windows:
         return None
     by_length: dict[int, list[str]] = {}
     for r in rows:
         by_length.setdefault(r.n, []).append(r.window)
+    return by_length
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_windows: int = 100_000) -> DataFrame | None:
+    """docs with the columns w and hits, made without a shuffle; None if the benchmark is too large to send."""
+    by_length = _by_length(benchmark, window, most_windows)
+    if by_length is None:
+        return None
     split = docs.withColumn("w", words(F.col(text_col)))
     none = F.expr("cast(array() AS array<struct<s: int, n: int, t: string>>)")
     return split.withColumn("hits", F.expr(_hits_sql(by_length, docs.sparkSession)) if by_length else none)
@@ -105,12 +114,10 @@ def _joined(base: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, in which no window of the benchmark occurs."""
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    hit = with_hits(row, benchmark, window, "text")
-    if hit is not None:
-        return hit.where(F.size("hits") == 0).select("row.*")
-    keyed = row.select(F.monotonically_increasing_id().alias("row_id"), "row", "text")
-    found = _joined(keyed.select(F.col("row_id").alias("row"), F.col("row_id").alias("doc_id"), "text"), benchmark_windows(benchmark, window)).where("n_hit > 0")
-    return keyed.join(found.select(F.col("doc_id").alias("row_id")), "row_id", "left_anti").select("row.*")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which no window of the benchmark occurs; null ids stay.
+
+    The scan's result is written before it is filtered: a filter on it would move below the projection
+    that splits the words, and split them again for every block."""
+    found = cut(scan(docs, benchmark, window, id_col, text_col)).where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(found, docs[id_col] == found["gone"], "left_anti")
