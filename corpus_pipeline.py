@@ -1,7 +1,7 @@
 """Cleans and encodes a corpus in stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of their input: texts
-whose language can't be told go, one document of each group of near copies stays (five-word
+without letters or far from every learned language go, one document of each group of near copies stays (five-word
 shingles, similarity 0.8), documents that hold a benchmark window go, and secrets in texts are
 replaced.  The last one encodes the texts and returns doc_id, n_tokens and two digests.
 """
