@@ -54,6 +54,7 @@ change example sample test user admin name default config setting server client
 private import export module version build release update delete create insert select table index column database connection request
 response header content message error warning debug info level service account access login here placeholder dummy insert replace
 """.split()  # noqa: SIM905
+_LONG_WORDS = sorted({w for w in _WORDS if len(w) > 3})
 
 
 @lru_cache(1)
@@ -101,31 +102,62 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return taken
 
 
-def _classes(s: str) -> list[int]:
-    return [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in s]
+def _class_table() -> np.ndarray:
+    return np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in map(chr, range(0x110000))], np.int8)
+
+
+_class_of: list[np.ndarray] = []
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache(1)
+def _pair_table() -> np.ndarray:
+    """Logarithms of letter pairs by their two codes below 128."""
+    table = np.full(128 * 128, -9.0)
+    for p, v in _pairs().items():
+        table[ord(p[0]) * 128 + ord(p[1])] = v
+    return table
+
+
+def _covered(low: str) -> int:
+    """Characters that dictionary words cover, overlapping ones once."""
+    edge = np.zeros(len(low) + 1, np.int64)
+    for w in _LONG_WORDS:
+        at = low.find(w)
+        while at >= 0:
+            edge[at] += 1
+            edge[at + len(w)] -= 1
+            at = low.find(w, at + 1)
+    return int(np.count_nonzero(np.cumsum(edge)))
 
 
 def features(kind: str, before: str, s: str, after: str) -> list[float]:
-    n = len(s)
-    part = s[:4096] if n > 4096 else s  # a key block's statistics settle long before that
-    c = _classes(part)
-    m = len(part)
-    low = part.lower()
-    pairs = _pairs()
-    letters = [low[i : i + 2] for i in range(m - 1) if c[i] < 2 and c[i + 1] < 2]
-    likely = sum(pairs.get(p, -9.0) for p in letters) / max(1, len(letters)) if letters else -9.0
-    covered = bytearray(m)
-    for w in _WORDS:
-        if len(w) > 3:
-            at = low.find(w)
-            while at >= 0:
-                covered[at : at + len(w)] = b"\1" * len(w)
-                at = low.find(w, at + 1)
-    seen = Counter(part)
-    entropy = -sum(k / m * math.log2(k / m) for k in seen.values()) if m else 0.0
+    """All of them over the whole candidate."""
+    if not _class_of:
+        _class_of.append(_class_table())
+    m = len(s)
+    code = _codes(s)
+    c = _class_of[0][code]
+    low = s.lower()
+    if len(low) != m:
+        low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in s)  # positions stay the candidate's own
+    small = _codes(low)
+    both = (c[:-1] < 2) & (c[1:] < 2)
+    p, q = small[:-1][both], small[1:][both]
+    known = (p < 128) & (q < 128)
+    letters = len(p)
+    likely = float((_pair_table()[p[known] * 128 + q[known]].sum() - 9.0 * (letters - int(known.sum()))) / letters) if letters else -9.0
+    n = np.bincount(c, minlength=4).tolist()
+    seen = np.unique(code, return_counts=True)[1]
+    share = seen / max(1, m)
+    entropy = float(-(share * np.log2(share)).sum()) if m else 0.0
+    hexed = not low.strip("0123456789abcdef")
     return [
-        math.log1p(n), sum(a != b for a, b in zip(c, c[1:], strict=False)) / max(1, m - 1), likely, sum(covered) / max(1, m), c.count(2) / max(1, m), c.count(1) / max(1, m), c.count(3) / max(1, m), entropy,
-        float(set(low) <= set("0123456789abcdef")), len(seen) / max(1, m), float(KINDS.index(kind)), float(bool(_PATH.search(before[-12:] + s))), float(bool(_GOOD.search(before[-32:]))), float(bool(_BAD.search(before[-32:] + " " + s[:40] + " " + after[:16]))),
+        math.log1p(m), int(np.count_nonzero(c[1:] != c[:-1])) / max(1, m - 1), likely, _covered(low) / max(1, m), n[2] / max(1, m), n[1] / max(1, m), n[3] / max(1, m), entropy,
+        float(hexed), len(seen) / max(1, m), float(KINDS.index(kind)), float(bool(_PATH.search(before[-12:] + s))), float(bool(_GOOD.search(before[-32:]))), float(bool(_BAD.search(before[-32:] + " " + s + " " + after[:16]))),
     ]
 
 

@@ -191,6 +191,23 @@ def test_secret_forest_held_out():
     assert ((secrets.default_forest().predict(x) >= 0.5) == [y for *_, y in rows]).mean() > 0.97
 
 
+def test_secret_features_are_of_the_whole_candidate():
+    r = random.Random(6)
+    padding, key = "the key word " * 400, "".join(r.choices("abcdefXYZ0123456789+/", k=20_000))
+    s = padding + key + "é"
+    f = secrets.features("long", "", s, "")
+    low, n = s.lower(), len(s)
+    kind = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in s]
+    pairs = [low[i : i + 2] for i in range(n - 1) if kind[i] in "lu" and kind[i + 1] in "lu"]
+    covered = {i for w in secrets._WORDS if len(w) > 3 for m in re.finditer(f"(?={w})", low) for i in range(m.start(), m.start() + len(w))}
+    share = np.array([s.count(c) / n for c in set(s)])
+    want = [np.log1p(n), sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / (n - 1), np.mean([secrets._pairs().get(p, -9.0) for p in pairs]), len(covered) / n, kind.count("d") / n, kind.count("u") / n, kind.count("o") / n, -(share * np.log2(share)).sum(), 0.0, len(share) / n]
+    assert np.allclose(f[:10], want)
+    assert not np.allclose(f[1:8], secrets.features("long", "", padding[:4096], "")[1:8])
+    assert [secrets.features("long", "", "0a" * 3000 + end, "")[8] for end in ("f", "g")] == [1.0, 0.0]
+    assert [secrets.features("long", "", "Zq7" * 3000 + end + "Zq7", "")[13] for end in ("", "placeholder")] == [0.0, 1.0]
+
+
 def test_quality(spark):
     r = random.Random(1)
     words = "the and onder thing erst auf lichen dass nicht house tree walk".split()  # noqa: SIM905
