@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA|GPA|IDA|ROA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
 )
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+_MARK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
+#: What a key block without an END line holds: header lines, then all up to a hyphen.
+_OPEN = re.compile(r"\s*+(?:[A-Z][A-Za-z-]{0,40}+: [^\n]*+\n)*+[^-]*+")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 _SIGN = re.compile("[=:]")
 _NAME = re.compile(r"(?:^|[^A-Za-z0-9])([A-Za-z0-9_.-]{0,20}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey)s?)[\"']?[ \t]{0,3}$", re.I)
@@ -64,19 +66,48 @@ def _pairs() -> dict[str, float]:
     return {p: math.log((n + 0.1) / (total + 67.6)) for p, n in seen.items()}
 
 
+def _blocks(text: str) -> list[tuple[str, int, int]]:
+    """Private-key blocks from BEGIN to END; one that another BEGIN or the text's end cuts off has no END."""
+    out: list[tuple[str, int, int]] = []
+    begun: re.Match | None = None
+
+    def cut_off(until: int) -> None:
+        if begun:
+            out.append(("block", begun.start(), _OPEN.match(text, begun.end(), until).end()))
+
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            cut_off(m.start())
+            begun = m
+        elif begun:
+            out.append(("block", begun.start(), m.end()))
+            begun = None
+    cut_off(len(text))
+    return out
+
+
+def _rests(text: str, start: int, end: int, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """What taken spans leave of a long run, without joining characters at the ends: at least 6
+    characters, like an assigned value, with digits and letters, like a run."""
+    out = []
+    for a, b in zip([start, *[c[2] for c in taken]], [*[c[1] for c in taken], end], strict=True):
+        while a < b and text[a] in "/+_-=":
+            a += 1
+        while a < b and text[b - 1] in "/_-":
+            b -= 1
+        s = text[a : max(a, b)]
+        if len(s) >= 6 and _DIGIT.search(s) and (_UPPER.search(s) or _LOWER.search(s)):
+            out.append(("long", a, b))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of what the patterns propose, in order and without overlaps."""
     out: list[tuple[str, int, int]] = []
     if "-----BEGIN" in text:
-        out += [("block", *m.span()) for m in _BLOCK.finditer(text)]
+        out += _blocks(text)
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in _JWT.finditer(text)]
-    for m in _LONG.finditer(text):
-        s = m[0]
-        if _DIGIT.search(s):
-            mix = bool(_UPPER.search(s)) + bool(_LOWER.search(s))
-            if mix:
-                out.append(("long", *m.span()))
     out += [("issued", *m.span()) for m in _ISSUED.finditer(text)]
     end = 1
     for m in _SIGN.finditer(text):
@@ -87,19 +118,29 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             g = next(i for i in (1, 2, 3) if v[i] is not None)
             out.append(("assigned", *v.span(g)))
             end = v.end()
-    rank = {"block": 0, "issued": 1, "jwt": 2, "assigned": 3, "long": 4}
+    rank = {"block": 0, "issued": 1, "jwt": 2, "assigned": 3}
     taken: list[tuple[str, int, int]] = []
-    last: tuple[str, int, int] | None = None
     for c in sorted(out, key=lambda c: (c[1], rank[c[0]])):
-        if last and c[1] < last[2]:
-            if last[0] == "long" and c[0] != "long":
-                taken[-1] = last = c  # the more telling pattern knows where the secret begins
-            elif c[2] > last[2] and c[0] != "long":
-                taken[-1] = last = (min(last[0], c[0], key=rank.get), last[1], c[2])
+        if taken and c[1] < taken[-1][2]:
+            last = taken[-1]
+            if c[2] > last[2]:
+                taken[-1] = (min(last[0], c[0], key=rank.get), last[1], c[2])
             continue
         taken.append(c)
-        last = c
-    return taken
+    long: list[tuple[str, int, int]] = []
+    k = 0
+    for m in _LONG.finditer(text):
+        if not (_DIGIT.search(m[0]) and (_UPPER.search(m[0]) or _LOWER.search(m[0]))):
+            continue
+        a, b = m.span()
+        while k < len(taken) and taken[k][2] <= a:
+            k += 1
+        n = k
+        while n < len(taken) and taken[n][1] < b:
+            n += 1
+        # the more telling patterns know where their secrets begin and end; the rest of the run may be one too
+        long += _rests(text, a, b, taken[k:n]) if n > k else [("long", a, b)]
+    return sorted(taken + long, key=lambda c: c[1])
 
 
 def _class_table() -> np.ndarray:
@@ -226,7 +267,7 @@ def generated(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, int]]:
     given = lambda: r.choice(["password=", "token = \"", "secret: ", "api_key=", "PASSWORD=", "access_key = '", "auth_token: ", "pwd=", "client_secret=", "db_password: "])
     out = []
     for i in range(n):
-        kind = i % 16
+        kind = i % 18
         end = r.choice([" ", "\n", ". ", "\" ", ""]) + prose()
         if kind == 0:
             row = (prose(), r.choice(["AKIA", "ASIA"]) + many(upper + digits, 16), end, 1)
@@ -241,7 +282,8 @@ def generated(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, int]]:
         elif kind == 6:
             row = (prose(), "eyJ" + many(lower + upper + digits, 30) + ".eyJ" + many(lower + upper + digits, 60) + "." + many(lower + upper + digits + "-_", 43), end, 1)
         elif kind == 7:
-            row = (prose() + r.choice(["bearer ", "credential ", "secret key "]), many(lower + upper + digits + "+/", r.randint(32, 88)), end, 1)
+            issued = r.choice(["AKIA", "ASIA"]) + many(upper + digits, 16) + r.choice("/:+_-")
+            row = (prose() + r.choice(["bearer ", "credential ", "secret key ", issued]), many(lower + upper + digits + "+/", r.randint(32, 88)), end, 1)
         elif kind == 8:
             row = (prose() + given(), r.choice(["changeme", "your_password_here", "your-token-here", "xxxxxxxx", "********", "placeholder", "example", "undefined", "${SECRET}", "<password>", "os.environ", "None1234", "testtest", "password"]), end, 0)
         elif kind == 9:
@@ -256,6 +298,14 @@ def generated(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, int]]:
             row = (prose(), "".join(word().capitalize() for _ in range(r.randint(4, 7))) + r.choice(["", many(digits, 2)]), end, 0)
         elif kind == 14:
             row = (prose(), r.choice(["-", "_"]).join(word() for _ in range(r.randint(3, 6))) + "-" + many(digits, r.randint(1, 4)), end, 0)
+        elif kind in (16, 17):
+            name = r.choice(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "])
+            head, line = r.choice(["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + many("0123456789ABCDEF", 32) + "\n\n"]), r.choice(["\n", "\n", "\\n", " "])
+            if kind == 16:
+                body = line.join(many(lower + upper + digits + "+/", 64) for _ in range(r.randint(1, 60)))
+            else:
+                body = r.choice(["", "...", "<key>", "YOUR KEY HERE", "your-private-key", "xxxxxxxx", "[REDACTED]", " ".join(word() for _ in range(r.randint(1, 40)))])
+            row = (prose(), f"-----BEGIN {name}PRIVATE KEY-----{line}{head}{body}" + r.choice(["", *[f"{line}-----END {name}PRIVATE KEY-----"] * 4]), end, int(kind == 16))
         else:
             row = (prose(), r.choice(["=", "-", "_"]) * r.randint(20, 60) + many(digits, r.randint(0, 2)), end, 0) if r.random() < 0.5 else (prose() + r.choice(["", "id ", "no. "]), many(digits, r.randint(16, 24)) + r.choice(["", "a"]), end, 0)
         out.append(row)
