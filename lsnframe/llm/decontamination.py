@@ -114,10 +114,16 @@ def _joined(base: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, in which no window of the benchmark occurs; null ids stay.
-
-    The scan's result is written before it is filtered: a filter on it would move below the projection
-    that splits the words, and split them again for every block."""
-    found = cut(scan(docs, benchmark, window, id_col, text_col)).where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs[id_col] == found["gone"], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_windows: int = 100_000) -> DataFrame:
+    """The rows, with all their columns, in which no window of the benchmark occurs, each judged by its
+    own text and whatever its id.
+
+    The rows are written before they are filtered: a filter would move below the projection that splits
+    the words, and split them again for every block."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    hit = with_hits(rows, benchmark, window, "text", most_windows)
+    if hit is not None:
+        return cut(hit.select("doc", (F.size("hits") == 0).alias("clean"))).where("clean").select("doc.*")
+    rows = cut(rows)
+    gone = scan(rows, benchmark, window, "row", "text", most_windows).where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -297,6 +297,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that are the first of their component; null ids stay."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, docs[id_col].cast("long") == gone[id_col], "left_anti")
+    """One row, with all its columns, of each component: that of the smallest id, null ids last.
+
+    Where ids are null or repeated, rows are numbered and compared by their numbers."""
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("id IS NULL OR n > 1").isEmpty():
+        gone = near_duplicates(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col))
+        return docs.join(gone, docs[id_col].cast("long") == gone[id_col], "left_anti")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.struct("*").alias("doc"), F.col(text_col).alias("text")))
+    found = near_duplicates(rows, k, percent, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+    first = rows.select("row", "id").join(found, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select("doc.*")

@@ -11,7 +11,7 @@ from lsnframe.llm import near_dedup
 from lsnframe.llm.components import components
 from lsnframe.llm.decontamination import keep_clean, scan
 from lsnframe.llm.embedding_dedup import near_vectors
-from lsnframe.llm.near_dedup import near_duplicates
+from lsnframe.llm.near_dedup import keep_one, near_duplicates
 from lsnframe.llm.substring_dedup import remove_repeats
 
 SCHEMA = "doc_id long, text string, w int, row string, key int, n_words int"  # columns with clashing names
@@ -227,3 +227,20 @@ def test_embedding_dedup_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (None, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((q.vec_id or 0, q.n_links, q.kept) for q in near_vectors(df).collect()) == [(0, 0, True), (1, 0, True), (2, 0, True)]
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    r = random.Random(12)
+    prose = lambda n: " ".join(f"w{r.randint(0, 999)}" for _ in range(n))
+    a, b, c, leak = prose(60), prose(60), prose(60), prose(20)
+    schema = "doc_id long, text string, row int, w int"
+    rows = [(None, a, 1, 0), (7, a, 2, 0), (7, a + " end", 3, 0), (None, b, 4, 0), (None, b, 5, 0), (8, c, 6, 0), (8, c, 7, 0), (9, None, 8, 0), (None, "", 9, 0)]
+    got = keep_one(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "row", "w"]
+    kept = sorted(x.row for x in got.collect())
+    assert len(kept) == 5 and kept[0] in (2, 3) and kept[1] in (4, 5) and kept[2] in (6, 7) and kept[3:] == [8, 9]
+    rows = [(None, "x " + leak, 1, 0), (None, prose(30), 2, 0), (5, leak + " y", 3, 0), (5, prose(30), 4, 0), (6, None, 5, 0), (None, None, 6, 0)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    for most in (100_000, 3):  # sent to every task, and joined by a shuffle
+        left = keep_clean(spark.createDataFrame(rows, schema), bench, most_windows=most)
+        assert left.columns == ["doc_id", "text", "row", "w"] and sorted(x.row for x in left.collect()) == [2, 4, 5, 6]
