@@ -6,8 +6,7 @@ Chunks of 1,024 bytes overlap by half and cover the whole document; each filter
 chunk, chunks are averaged, and a logistic layer turns them into one probability.
 
 It is trained on the driver with Adam on about ``per_class`` labelled documents of each class,
-picked by a hash of the id, of each up to ``CHUNKS`` chunks spread evenly over it; scoring reads
-whole texts.  With fewer than two classes every score is 0.5.  A null text counts as empty and is
+picked by a hash of the id; training and scoring read all chunks of whole texts.  With fewer than two classes every score is 0.5.  A null text counts as empty and is
 scored like any other.  Rows with a null id or label are scored but not learned from; where an id
 has several labels, the smallest counts.  Repeated rows give repeated results.
 """
@@ -26,8 +25,9 @@ from lsnframe.llm.language_id import held_out
 WIDTH, STRIDE, HALF = 8, 4, 128
 EMBED, FILTERS = 6, 24
 LAGS, RUN = 160, 16
-CHUNKS = 6
 BLOCK = 1_000_000
+#: Half chunks, and chunks, that training holds at a time.
+HELD = 1024
 
 
 def recurrence(b: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -57,6 +57,20 @@ def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return b, rec, off
 
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``layout`` of all texts, made of about BLOCK characters at a time."""
+    parts, size, group = [], 0, []
+    for i, t in enumerate(texts):
+        group.append(t)
+        size += len(t or "")
+        if size >= BLOCK or i == len(texts) - 1:
+            b, rec, off = layout(group)
+            parts.append((b[: off[-1]], rec[: off[-1]], np.diff(off)))
+            size, group = 0, []
+    b = np.concatenate([*(p[0] for p in parts), np.zeros(WIDTH, np.uint8)])
+    return b, np.concatenate([*(p[1] for p in parts), np.zeros(WIDTH, bool)]), np.append(0, np.cumsum(np.concatenate([p[2] for p in parts])))
+
+
 class Network:
     """Parameters and the passes of the classifier."""
 
@@ -114,37 +128,39 @@ class Network:
         if len(set(labels)) < 2:
             return
         self.trained = True
-        b, rec, off = layout(texts)
-        span = 2 * HALF * STRIDE
-        begin, doc = [], []
-        for d in range(len(texts)):
-            last = max(0, int(off[d + 1] - off[d]) - span)
-            for s in sorted({int(x) // STRIDE * STRIDE for x in np.linspace(0, last, CHUNKS)}):
-                begin.append(off[d] + s)
-                doc.append(d)
-        begin, doc = np.array(begin), np.array(doc)
-        end = np.minimum(begin + span, off[doc + 1] - STRIDE)
+        b, rec, off = joined(texts)
+        steps = np.diff(off) // STRIDE
+        n = -(-steps // HALF)
+        first = np.append(0, np.cumsum(n))
+        doc = np.repeat(np.arange(len(texts)), n)
+        k = np.arange(len(doc)) - first[doc]
+        begin = off[doc] + k * HALF * STRIDE
+        valid = steps[doc] - 1 - k * HALF  # a document's last window would reach into the next document
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
         for epoch in range(epochs):
             order = r.permutation(len(texts))
             for i in range(0, len(order), 64):
                 docs = np.sort(order[i : i + 64])
                 rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-                steps = (end[rows] - begin[rows]) // STRIDE
-                start = np.cumsum(steps) - steps
-                at = np.repeat(begin[rows] - start * STRIDE, steps) + np.arange(steps.sum()) * STRIDE
-                a = self.windows(b, rec, at, 0) @ self.p["w"] + self.p["b"]
-                top = np.maximum.reduceat(a, start, axis=0)
-                of = np.repeat(np.arange(len(rows)), steps)
-                hits = a == top[of]
-                best = np.empty(top.shape, np.int64)
-                for f in range(FILTERS):
-                    k = np.flatnonzero(hits[:, f])
-                    best[of[k][::-1], f] = k[::-1]
-                pooled = np.maximum(top, 0)
+                top, spot = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.int64)
+                for j in range(0, len(rows), HELD):
+                    part = rows[j : j + HELD]
+                    at = np.minimum(begin[part, None] + np.arange(HALF) * STRIDE, len(b) - WIDTH)
+                    a = (self.windows(b, rec, at.ravel(), 0) @ self.p["w"] + self.p["b"]).reshape(len(part), HALF, FILTERS)
+                    np.maximum(a, 0, out=a)
+                    a[np.arange(HALF) >= valid[part, None]] = 0
+                    best = a.argmax(1)
+                    top[j : j + HELD] = np.take_along_axis(a, best[:, None], 1)[:, 0]
+                    spot[j : j + HELD] = begin[part, None] + best * STRIDE
+                # as in scoring, two halves make a chunk, and a single half is one only if it is all there is
+                pair = np.append(doc[rows][1:] == doc[rows][:-1], False)
+                use = pair | np.append(True, doc[rows][1:] != doc[rows][:-1])
+                later = pair[:, None] & (np.roll(top, -1, 0) > top)
+                spot = np.where(later, np.roll(spot, -1, 0), spot)[use]
+                pooled = np.where(later, np.roll(top, -1, 0), top)[use]
+                rows = rows[use]
                 local = np.searchsorted(docs, doc[rows])
                 n = np.bincount(local, minlength=len(docs)).astype(np.float32)
                 mean = np.zeros((len(docs), FILTERS), np.float32)
@@ -153,15 +169,15 @@ class Network:
                 z = mean @ self.p["v"] + self.p["c"][0]
                 dz = (1 / (1 + np.exp(-z)) - y[docs]) * weight[docs] / len(docs)
                 g = {"v": mean.T @ dz + 1e-4 * self.p["v"], "c": np.array([dz.sum()], np.float32)}
-                da = (dz / n)[local][:, None] * self.p["v"] * (top > 0)
+                da = (dz / n)[local][:, None] * self.p["v"] * (pooled > 0)
                 g["b"] = da.sum(0)
-                g["w"], g["e"] = np.empty_like(self.p["w"]), np.zeros_like(self.p["e"])
+                g["w"], g["e"] = 1e-4 * self.p["w"], np.zeros_like(self.p["e"])
                 for f in range(FILTERS):
-                    spot = at[best[:, f]]
-                    x = self.windows(b, rec, spot, 0)
-                    g["w"][:, f] = x.T @ da[:, f] + 1e-4 * self.p["w"][:, f]
-                    back = da[:, f, None, None] * self.p["w"][:, f].reshape(WIDTH, EMBED + 1)[None, :, :EMBED]
-                    np.add.at(g["e"], b[spot[:, None] + np.arange(WIDTH)], back)
+                    for j in range(0, len(rows), HELD):
+                        held, d = spot[j : j + HELD, f], da[j : j + HELD, f]
+                        g["w"][:, f] += self.windows(b, rec, held, 0).T @ d
+                        back = d[:, None, None] * self.p["w"][:, f].reshape(WIDTH, EMBED + 1)[None, :, :EMBED]
+                        np.add.at(g["e"], b[held[:, None] + np.arange(WIDTH)], back)
                 t += 1
                 step = rate * min(1, 2 * (1 - epoch / epochs))
                 for k in self.p:

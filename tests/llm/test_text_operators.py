@@ -266,6 +266,27 @@ def test_quality_covers_the_whole_text():
     assert np.allclose(alone, net.score(["abc", "", "q" * 3000]))
 
 
+def test_quality_learns_from_the_whole_text():
+    r = random.Random(5)
+    text = lambda: "".join(r.choices("abcdefghij klmnop", k=8000))
+    # the passage lies where six chunks spread over the text leave a gap
+    texts = [t if i % 2 else t[:1100] + "#@" * 140 + t[1380:] for i, t in enumerate(text() for _ in range(120))]
+    net = quality.Network()
+    net.fit(texts[:80], [1 - i % 2 for i in range(80)])
+    assert np.mean([(p >= 0.5) == (i % 2 == 0) for i, p in enumerate(net.score(texts[80:]))]) > 0.9
+    few, plain = quality.HELD, dict(net.p)
+    try:
+        quality.HELD = 7
+        again = quality.Network()
+        again.fit(texts[:80], [1 - i % 2 for i in range(80)], epochs=1)
+        quality.HELD = few
+        whole = quality.Network()
+        whole.fit(texts[:80], [1 - i % 2 for i in range(80)], epochs=1)
+    finally:
+        quality.HELD = few
+    assert all(np.allclose(again.p[k], whole.p[k], atol=1e-2) for k in plain)
+
+
 def test_recurrence_stays_in_its_document():
     once = b"0123456789abcdefXYZ"
     b = np.frombuffer(once + once, np.uint8)
