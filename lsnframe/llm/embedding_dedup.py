@@ -6,20 +6,20 @@ they share two pivots at least, and the pair is dealt with only in the list of t
 pivots it shares.  What meets is verified by cosine in double precision.
 
 Pivots are chosen by farthest-first traversal from a sample of at most ``sample`` vectors; every
-vector is indexed.  With 64 dimensions, 128 pivots and 6 nearest ones, 99.9 % of pairs at cosine 0.95
-meet, and more above it.
+vector is indexed.  Large tables have more pivots and, unless pivots are given, more nearest ones, so
+that at least 99.9 % of pairs at cosine 0.95 meet in 64 dimensions at any size, and more above it.
+Vectors of each length have an index of their own.
 
 Equal vectors form a class of which one is indexed.  Lists longer than ``block`` are compared in
 blocks, and a list yields sums of links and one edge for each vector, never its pairs.
 
-Null vectors, zero vectors, vectors with null or non-finite components or of another length than the
-sample's most frequent one, and rows with a null id link with nothing.  Repeated rows are vectors of
+Null vectors, zero vectors, vectors with null or non-finite components, and rows with a null id link
+with nothing, nor do vectors of different lengths with each other.  Repeated rows are vectors of
 their own.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +52,10 @@ def _pivots_for(rows: int) -> int:
     return n
 
 
+#: How many more nearest pivots keep the share of pairs that meet (README has the measured ones).
+_MORE = {128: 0, 256: 1, 512: 2, 1024: 2}
+
+
 def _links(t: pa.Table, threshold: float, kind: str, pivots: int) -> pa.Table:
     key, lo, hi, own = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own"))
     rep, size = t.column("rep").to_numpy(), t.column("size").to_numpy().astype(float)
@@ -107,19 +111,13 @@ def _links(t: pa.Table, threshold: float, kind: str, pivots: int) -> pa.Table:
     return pa.table({"rep": np.concatenate(reps + empty), "links": np.concatenate(counts + empty), "root": np.concatenate(roots + empty)})
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, pivots: int | None = None, nearest: int = 6, sample: int = 4096, block: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    v = F.col("vector")
-    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("vector", F.when(good, v))
-    classes = cut(base.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size")))
-    n = classes.count()
+_FOUND = "rep long, links long, root long"
+
+
+def _found(classes: DataFrame, dims: int, n: int, threshold: float, pivots: int, nearest: int, sample: int, block: int) -> DataFrame:
+    """Sums of links and edges between n distinct vectors of one length."""
     drawn = [r.vector for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vector").collect()]
-    result = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not drawn:
-        return result
-    dims = Counter(map(len, drawn)).most_common(1)[0][0]
-    at = choose_pivots(np.array([x for x in drawn if len(x) == dims], float), pivots or _pivots_for(n))
+    at = choose_pivots(np.array(drawn, float), pivots)
     kind = "float32" if "float" in classes.schema["vector"].dataType.simpleString() else "float64"
     near = min(nearest, len(at))
 
@@ -135,7 +133,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, pivots: int | None
             keys = perm[:, i] * len(at) + perm[:, j] if near > 1 else np.zeros((len(perm), 1), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([p.tobytes() for p in perm.astype(np.uint16)], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], ["rep", "size", "perm", "vector", "keys"])
 
-    posted = cut(classes.where(F.size("vector") == dims).select("vector", "rep", "size").mapInArrow(post, "rep long, size long, perm binary, vector binary, keys array<int>"))
+    posted = cut(classes.select("vector", "rep", "size").mapInArrow(post, "rep long, size long, perm binary, vector binary, keys array<int>"))
     each = posted.select(F.explode("keys").alias("key"), "rep", "size", "perm", "vector")
     # at most one row for every two pivots: half a million at 1024 pivots
     lists = each.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -144,7 +142,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, pivots: int | None
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "perm", "vector", "blocks")
     task = F.when(F.col("blocks") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(64, n // 500))))
     count = len(at)
-    found = cut(dealt.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(lambda t: _links(t, threshold, kind, count), "rep long, links long, root long"))
+    return cut(dealt.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(lambda t: _links(t, threshold, kind, count), _FOUND))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, pivots: int | None = None, nearest: int = 6, sample: int = 4096, block: int = 1500, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row."""
+    v = F.col("vector")
+    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("vector", F.when(good, v))
+    classes = cut(base.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size")))
+    result = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if classes.isEmpty():
+        return result
+    found = vectors.sparkSession.createDataFrame([], _FOUND)
+    # one vector alone in its length has nothing to meet
+    for r in classes.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect():
+        count = pivots or _pivots_for(r.n)
+        near = nearest if pivots else nearest + _MORE[count]
+        found = found.unionAll(_found(classes.where(F.size("vector") == r.dims), r.dims, r.n, threshold, count, near, sample, block))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select("rep", "root"), "rep", "root").select(F.col("id").alias("rep"), "component")
     named = classes.join(sums, "rep", "left").join(parts, "rep", "left").where("size > 1 OR links IS NOT NULL").select("vector", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

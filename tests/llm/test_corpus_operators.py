@@ -7,7 +7,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from lsnframe.llm import near_dedup
+from lsnframe.llm import embedding_dedup, near_dedup
 from lsnframe.llm.components import components
 from lsnframe.llm.decontamination import keep_clean, scan
 from lsnframe.llm.embedding_dedup import near_vectors
@@ -244,3 +244,31 @@ def test_filters_judge_rows_and_not_ids(spark):
     for most in (100_000, 3):  # sent to every task, and joined by a shuffle
         left = keep_clean(spark.createDataFrame(rows, schema), bench, most_windows=most)
         assert left.columns == ["doc_id", "text", "row", "w"] and sorted(x.row for x in left.collect()) == [2, 4, 5, 6]
+
+
+def test_vectors_of_each_length_meet(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for dims, n in ((8, 30), (5, 10), (3, 1)):
+        x = r.normal(size=(n, dims))
+        rows += [y.tolist() for v in x for y in (v, v + 0.01 * r.normal(size=dims))]
+    got = {x.vec_id: x for x in near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(x) / np.linalg.norm(x) for x in rows]
+    for i, x in enumerate(unit):
+        links = [j for j, y in enumerate(unit) if j != i and len(x) == len(y) and x @ y >= 0.95]
+        assert got[i].n_links == len(links) > 0 and got[i].component_id <= min(links)
+
+
+def test_as_many_vectors_meet_with_more_pivots():
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a, z = unit(r.normal(size=(8000, 64))), r.normal(size=(8000, 64))
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * unit(z - (z * a).sum(1)[:, None] * a)
+    sample = unit(r.normal(size=(4096, 64)))
+    for rows in (200_000, 200_001, 800_004, 3_200_016):
+        pivots = embedding_dedup._pivots_for(rows)
+        at = embedding_dedup.choose_pivots(sample, pivots).T
+        near = 6 + embedding_dedup._MORE[pivots]
+        p, q = (np.argsort(-(x @ at), axis=1)[:, :near] for x in (a, b))
+        assert ((p[:, :, None] == q[:, None, :]).sum((1, 2)) >= 2).mean() > 0.998
+    assert [embedding_dedup._pivots_for(n) for n in (200_000, 200_001, 800_004, 3_200_016)] == [128, 256, 512, 1024]
