@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped
 from lsnframe.llm.components import components, cut
 
 
@@ -133,7 +134,7 @@ def _found(classes: DataFrame, dims: int, n: int, threshold: float, pivots: int,
             keys = perm[:, i] * len(at) + perm[:, j] if near > 1 else np.zeros((len(perm), 1), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([p.tobytes() for p in perm.astype(np.uint16)], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], ["rep", "size", "perm", "vector", "keys"])
 
-    posted = cut(classes.select("vector", "rep", "size").mapInArrow(post, "rep long, size long, perm binary, vector binary, keys array<int>"))
+    posted = cut(mapped(classes.select("vector", "rep", "size"), post, "rep long, size long, perm binary, vector binary, keys array<int>"))
     each = posted.select(F.explode("keys").alias("key"), "rep", "size", "perm", "vector")
     # at most one row for every two pivots: half a million at 1024 pivots
     lists = each.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -11,14 +11,14 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class IntMap:
-    """Open-addressing map of non-negative int64 keys to int64 values with vectorised lookups."""
+    """Open-addressing map of non-negative int64 keys to int32 values with vectorised lookups."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        n = max(16, 1 << int(4 * max(1, len(keys)) - 1).bit_length())
+        n = max(16, 1 << int(2 * max(1, len(keys)) - 1).bit_length())
         self._shift = np.uint64(64 - n.bit_length() + 1)
         self._mask = n - 1
         self._keys = np.full(n, -1, np.int64)
-        self._values = np.full(n, -1, np.int64)
+        self._values = np.full(n, -1, np.int32)
         pending = np.arange(len(keys))
         at = self._slot(keys)
         while len(pending):
@@ -41,7 +41,7 @@ class IntMap:
         """Values of the keys, -1 where a key is absent."""
         at = self._slot(keys)
         found = self._keys[at]
-        out = np.where(found == keys, self._values[at], -1)
+        out = np.where(found == keys, self._values[at], np.int32(-1)).astype(np.int64)
         open_ = np.flatnonzero((found != keys) & (found >= 0))
         while len(open_):
             at[open_] = (at[open_] + 1) & self._mask
@@ -52,6 +52,34 @@ class IntMap:
         return out
 
 
+class Recent:
+    """Values of texts seen lately: about ``most`` bytes in two generations, of which the older one is
+    forgotten when the newer one has half of them."""
+
+    def __init__(self, most: int) -> None:
+        self._most, self._size = most, 0
+        self.now: dict = {}
+        self._before: dict = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys whose values have to be put; all others are in ``now`` until the next call."""
+        if 2 * self._size > self._most:
+            self._before, self.now, self._size = self.now, {}, 0
+        out = []
+        for k in keys:
+            if k not in self.now:
+                value = self._before.get(k)
+                if value is None:
+                    out.append(k)
+                else:
+                    self.put(k, value)
+        return out
+
+    def put(self, key: str, value: object) -> None:
+        self.now[key] = value
+        self._size += 200 + 6 * len(key)
+
+
 class WordHashes(dict):
     """word -> 64-bit xxHash as int64, remembered for up to ``most`` words."""
 
@@ -73,15 +101,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``most`` characters, one text at least."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= most:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)

@@ -6,10 +6,15 @@ held against each profile: an n-gram counts the distance between its two ranks,
 lacks counts the profile's length.  The language with the smallest sum wins (ties: the smallest
 name); the score is how much smaller it is than the next one's sum, from 0 to 1.
 
-Profiles are learned from labelled rows only, from about ``per_language`` of them for each of the
-1,000 most frequent labels, picked by a hash of the id; whole texts are counted.  Null or letterless
-texts are "und" with score 0, and so is every text if nothing could be learned.  Repeated rows give
-repeated results; other columns are not read.
+Profiles are learned from labelled rows only, from about ``per_language`` of them for each label,
+picked by a hash of the id; whole texts are counted.  Every label is learned.  More than
+``most_languages`` different ones raise ValueError: profiles are held in memory, and the column is then
+no language.
+
+Null, empty or letterless texts are "und" with score 0, and so is every text if nothing could be learned.
+A text of any length is read whole, SLICE characters at a time.  Repeated rows give repeated results, an
+empty table gives an empty one.  Other columns are not read; a function that returns all columns replaces
+those of the names it adds.
 
 As a filter, a text stays if it has a letter and its smallest distance is at most ``FARTHEST`` of the
 largest possible one.  Against profiles that are full, documents of the four languages reach 0.633 on
@@ -29,15 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces, small_batches, unused
+
 UNKNOWN = "und"
-LANGUAGES = 1000
+#: Characters of a text that are counted together.
+SLICE = 1 << 18
 #: Limit of the filter, as a share of the distance of a text that has no n-gram of the profile.
 FARTHEST = 0.72
 _BLANK = 0x20
 
 
 def _letters() -> np.ndarray:
-    table = np.full(0x110000, _BLANK, np.int64)
+    table = np.full(0x110000, _BLANK, np.int32)
     for c in range(0x110000):
         if chr(c).isalpha():
             table[c] = c
@@ -51,13 +59,29 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of a text, ascending, and their counts; none if it has no letter."""
     if not _table:
         _table.append(_letters())
-    c = _table[0][np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-    c = np.concatenate(([_BLANK], c, [_BLANK]))
-    c = c[np.append(True, (c[1:] != _BLANK) | (c[:-1] != _BLANK))]
-    if len(c) < 3:
+    low = text.lower()
+    tail, found, counts = np.array([_BLANK], np.int64), [], []
+    for k in range(0, len(low), SLICE):
+        c = _table[0][np.frombuffer(low[k : k + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        c = np.concatenate((tail, c, [_BLANK] if k + SLICE >= len(low) else []), dtype=np.int64, casting="unsafe")
+        new = np.append(True, (c[1:] != _BLANK) | (c[:-1] != _BLANK))
+        c = c[new]
+        had = len(tail)  # n-grams that end there were counted before
+        two = c[:-1] << 21 | c[1:]
+        three = two[:-1] << 21 | c[2:]
+        one = c[had:]
+        codes, n = np.unique(np.concatenate((one[one != _BLANK], two[had - 1 :], three[max(0, had - 2) :])), return_counts=True)
+        found.append(codes)
+        counts.append(n)
+        tail = c[-2:]
+    if len(found) > 1:
+        codes, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts), len(codes)).astype(np.int64)
+    elif not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    two = c[:-1] << 21 | c[1:]
-    return np.unique(np.concatenate((c[c != _BLANK], two, two[:-1] << 21 | c[2:])), return_counts=True)
+    if not (codes < 0x110000).any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return codes, n
 
 
 def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -94,8 +118,8 @@ class Profiles:
         second = int(np.partition(away, 1)[1])
         return self.names[best], float(1 - away[best] / second) if second else 0.0
 
-    def near(self, text: str | None, farthest: float = FARTHEST) -> bool:
-        """Whether a text has a letter and is no farther from the nearest profile than the limit."""
+    def near(self, text: str | None, farthest: float = FARTHEST, wanted: set[str] | None = None) -> bool:
+        """Whether a text has a letter, is no farther from the nearest profile than the limit, and that profile is wanted."""
         top = ranked(*grams(text), self.size) if text else []
         if not len(top):
             return False
@@ -103,6 +127,8 @@ class Profiles:
             return True
         away = self._away(top)
         best = int(np.argmin(away))
+        if wanted is not None and self.names[best] not in wanted:
+            return False
         return not self.full[best] or bool(away[best] <= farthest * self.size * len(top))
 
 
@@ -111,26 +137,29 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, per_language: int = 1500, size: int = 300) -> Profiles:
+def learn(labelled: DataFrame, per_language: int = 1500, size: int = 300, most_languages: int = 10_000) -> Profiles:
     """Profiles from the columns id, text and label of all rows given."""
-    rows = labelled.where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    share = {r.label: min(1.0, per_language / r["n"]) for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    rows = labelled.where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").select("id", "text", "label")
+    share = [(r.label, min(1.0, per_language / r["n"])) for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()]
+    if len(share) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not share:
         return Profiles({}, size)
-    part = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("label")]
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part * 1_000_000).select("label", "text")
+    parts = labelled.sparkSession.createDataFrame(share, "label string, part double")  # most_languages rows at most
+    drawn = rows.join(F.broadcast(parts), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("part") * 1_000_000).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(label, []).append(grams(text))
-            for label, found in by.items():
-                codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["label", "code", "n"])
-
-    counted = drawn.mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for a, b, texts in pieces(batch.column(1)):
+                by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for label, text in zip(batch.column(0).slice(a, b - a).to_pylist(), texts, strict=True):
+                    by.setdefault(label, []).append(grams(text))
+                for label, found in by.items():
+                    codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                    n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["label", "code", "n"])
+
+    counted = mapped(drawn, count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
     lists: dict[str, list[int]] = {}
     for r in top.orderBy("label", "rank").collect():
@@ -140,13 +169,16 @@ def learn(labelled: DataFrame, per_language: int = 1500, size: int = 300) -> Pro
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """All columns of the input and language (string) and language_score (double)."""
+    small_batches(docs.sparkSession)
 
-    @F.udf("lang string, score double", useArrow=True)
-    def guess(text: str | None) -> tuple[str, float]:
-        return profiles.identify(text)
+    @F.arrow_udf("lang string, score double")
+    def guess(column: pa.Array) -> pa.Array:
+        found = [profiles.identify(t) for _, _, texts in pieces(column) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in found], pa.string()), pa.array([g[1] for g in found], pa.float64())], ["lang", "score"])
 
-    found = docs.withColumn("_found", guess(F.col(text_col)))
-    return found.withColumns({"language": F.col("_found.lang"), "language_score": F.col("_found.score")}).drop("_found")
+    name = unused(docs, "found")
+    found = docs.withColumn(name, guess(F.col(text_col)))
+    return found.withColumns({"language": F.col(f"{name}.lang"), "language_score": F.col(f"{name}.score")}).drop(name)
 
 
 def predict(docs: DataFrame, per_language: int = 1500, size: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -155,21 +187,28 @@ def predict(docs: DataFrame, per_language: int = 1500, size: int = 300, id_col:
     profiles = learn(base.where("NOT held_out").select(F.col("doc_id").alias("id"), "text", "label"), per_language, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [profiles.identify(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        for batch in batches:
+            for a, b, texts in pieces(batch.column(2)):
+                got = [profiles.identify(t) for t in texts]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return base.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return mapped(base.select("doc_id", "held_out", "text"), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, per_language: int = 1500, size: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", farthest: float = FARTHEST) -> DataFrame:
-    """The rows, with all their columns, that have letters and lie near a learned language (all with letters if none was)."""
+def keep_identified(
+    docs: DataFrame, per_language: int = 1500, size: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", farthest: float = FARTHEST, languages: list[str] | None = None
+) -> DataFrame:
+    """The rows, with all their columns, that have letters, lie near a learned language (all with letters
+    if none was learned) and, if ``languages`` are given, are nearest to one of these."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     profiles = learn(rows.where(~held_out(F.col("id"))), per_language, size)
+    wanted = None if languages is None else set(languages)
+    small_batches(docs.sparkSession)
 
-    @F.udf("boolean", useArrow=True)
-    def known(text: str | None) -> bool:
-        return profiles.near(text, farthest)
+    @F.arrow_udf("boolean")
+    def known(column: pa.Array) -> pa.Array:
+        return pa.array([profiles.near(t, farthest, wanted) for _, _, texts in pieces(column) for t in texts], pa.bool_())
 
     return docs.where(known(F.col(text_col)))

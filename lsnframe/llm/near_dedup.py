@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces
 from lsnframe.llm.components import components, cut
-from lsnframe.llm.hashing import chunks, mix
+from lsnframe.llm.hashing import mix
 
 BASE, RATE, LAST = 1.02, 20.0, 65534
 BANDS, ROWS = 24, 4
@@ -92,9 +93,8 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                s, off = _sets(texts[a:b], k)
+            for a, b, texts in pieces(batch.column(1)):
+                s, off = _sets(texts, k)
                 regs = _registers(s, off)
                 bands = np.empty((len(regs), BANDS), np.uint64)
                 for i in range(BANDS):
@@ -103,9 +103,9 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 n = np.diff(off)
                 hashes = [xxhash.xxh3_128_digest(s[off[i] : off[i + 1]].tobytes()) if n[i] else None for i in range(len(n))]
                 keys = [list(x) if c else None for x, c in zip(mix(bands).view(np.int64).tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "registers", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "registers", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, registers binary, bands array<long>")
+    return mapped(rows, run, "doc_id long, n_shingles long, set_hash binary, registers binary, bands array<long>")
 
 
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
                 j = estimate(_matrix(b.column(4)), _matrix(b.column(5)), b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], ["x", "y", "j"]).filter(pa.array(j >= _slack(percent / 100)))
 
-    return both.mapInArrow(run, "x long, y long, j double")
+    return mapped(both, run, "x long, y long, j double")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -156,12 +156,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                s, off = _sets(texts[a:b], k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["doc_id", "s"])
+            for a, b, texts in pieces(batch.column(1)):
+                s, off = _sets(texts, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["doc_id", "s"])
 
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(make, "doc_id long, s binary")
+    sets = mapped(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), make, "doc_id long, s binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +173,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long")
+    return mapped(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy"), check, "x long, y long")
 
 
 def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,13 +191,13 @@ def _short(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                s, off = _sets(texts[a:b], k)
+            for a, b, texts in pieces(batch.column(1)):
+                s, off = _sets(texts, k)
                 s = (s >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "short"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "short"])
 
-    return docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(make, "rep long, short binary")
+    rows = docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return mapped(rows, make, "rep long, short binary")
 
 
 def _forest(t: pa.Table, percent: int) -> pa.Table:

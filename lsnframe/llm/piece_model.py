@@ -1,14 +1,18 @@
 """A SentencePiece BPE vocabulary as numpy tables, with a vectorised merge-round encoder.
 
 A text is cut into units at places that no piece of the vocabulary spans (before a run of spaces,
-around line breaks), so units are encoded independently and distinct units only once.
-All units advance together: every round finds the smallest pair rank of each unit, merges its
-leftmost pair of that rank and compacts the symbol array, until no unit has a pair left.
+around line breaks), so units are encoded independently and distinct units only once.  Inside units,
+words end wherever two neighbouring characters stand together in no piece: no merge ever crosses such
+a place.  All words advance together, whatever their length: every round finds the smallest pair rank
+of each word, merges all pairs of that rank at once, leftmost first where they overlap, and compacts
+the symbol array, until no word has a pair left.
+
+Merging one pair at a time could differ from that only if a merge makes a pair of a rank that is not
+larger; so a round ends, for that word, with the first merge that does.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -17,11 +21,11 @@ import numpy as np
 from lsnframe.llm.hashing import IntMap
 
 SPACE = "▁"
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 #: Characters that are no piece get symbol UNKNOWN + code point, written as one token a byte.
 UNKNOWN = 1 << 16
-#: Units with more symbols are merged through a heap: a round moves only one pair of a unit.
-LONG_UNIT = 96
+#: Characters that are encoded together.
+SLICE = 1 << 18
 
 
 class PieceModel:
@@ -31,7 +35,7 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        self.byte_ids = np.full(256, sp.unk_id(), np.int64)
+        self.byte_ids = np.full(256, sp.unk_id(), np.int32)
         self.bytes_of: list[bytes] = []
         plain = {}
         for i, p in enumerate(self.pieces):
@@ -46,7 +50,7 @@ class PieceModel:
         self.ids = plain
         many = [p for p in plain if len(p) > 1]
         order = {s: k for k, s in enumerate(sorted({sp.get_score(plain[p]) for p in many}, reverse=True))}
-        self.rank = np.full(n, NONE, np.int64)
+        self.rank = np.full(n + 1, NONE, np.int32)  # the last one: no piece
         pairs: dict[int, int] = {}
         for p in many:
             i = plain[p]
@@ -55,9 +59,10 @@ class PieceModel:
                 a, b = plain.get(p[:cut]), plain.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a << 21 | b] = i
-        self.pairs = pairs
         self._merge = IntMap(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
-        self.char_id = np.arange(0x110000, dtype=np.int64) + UNKNOWN
+        beside = sorted({ord(p[k]) << 21 | ord(p[k + 1]) for p in many for k in range(len(p) - 1)})
+        self._beside = IntMap(np.array(beside, np.int64), np.zeros(len(beside), np.int64))
+        self.char_id = np.arange(0x110000, dtype=np.int32) + np.int32(UNKNOWN)
         for p, i in plain.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
@@ -73,92 +78,111 @@ class PieceModel:
         return self._unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all units in one array, and the offsets of each unit in it."""
+        """Symbols of all units in one array, and the offsets of each unit in it.
+
+        About SLICE characters are held at a time, or one unit that is longer."""
+        parts, sizes, lo, held = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+        for k, u in enumerate(units):
+            held += len(u)
+            if held >= SLICE or k == len(units) - 1:
+                sym, size = self._rounds(units[lo : k + 1])
+                parts.append(sym)
+                sizes.append(size)
+                lo, held = k + 1, 0
+        return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+    def word_ends(self, chars: np.ndarray) -> np.ndarray:
+        """For each character but the last, whether no piece holds it and the next one side by side."""
+        return self._beside.get(chars[:-1] << 21 | chars[1:]) < 0
+
+    def _rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The merge rounds of some units: their symbols, and how many each unit has."""
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        if not len(chars):
+            return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
         lens = np.fromiter(map(len, units), np.int64, len(units))
-        sym = self.char_id[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        unit = np.repeat(np.arange(len(units)), lens)
-        done_sym, done_unit = [], []
-        for u in np.flatnonzero(lens > LONG_UNIT):
-            one = np.array(self._heap(sym[unit == u] if len(units) < 4 else self.char_id[[ord(c) for c in units[u]]]), np.int64)
-            done_sym.append(one)
-            done_unit.append(np.full(len(one), u))
-        if len(done_sym):
-            short = lens[unit] <= LONG_UNIT
-            sym, unit = sym[short], unit[short]
-        rank = self._ranks(sym, unit, np.arange(len(sym) - 1)) if len(sym) else sym
-        rank = np.append(rank, NONE)[: len(sym)]
+        ends = self.word_ends(chars.astype(np.int64))
+        ends[np.cumsum(lens)[:-1][lens[:-1] > 0] - 1] = True
+        place = np.arange(len(chars), dtype=np.int32)  # of a symbol's first character
+        word = np.concatenate((np.zeros(1, np.int32), np.cumsum(ends, dtype=np.int32)))
+        sym = self.char_id[chars]
+        rank = np.append(self._ranks(sym, word, np.arange(len(sym) - 1)), np.int32(NONE))
+        begun = np.concatenate(([0], np.cumsum(lens)))
+        done_sym, done_place = [], []
         while len(sym):
             new = np.empty(len(sym), bool)
             new[0] = True
-            np.not_equal(unit[1:], unit[:-1], out=new[1:])
-            least = np.minimum.reduceat(rank, np.flatnonzero(new))
-            group = np.cumsum(new) - 1
-            mine = least[group]
+            np.not_equal(word[1:], word[:-1], out=new[1:])
+            first = np.flatnonzero(new)
+            least = np.minimum.reduceat(rank, first)
+            mine = np.repeat(least, np.diff(np.append(first, len(sym))))
             over = mine == NONE
+            at = np.flatnonzero((rank == mine) & ~over)
             if over.any():
                 done_sym.append(sym[over])
-                done_unit.append(unit[over])
-            at = np.flatnonzero((rank == mine) & ~over)
+                done_place.append(place[over])
             if not len(at):
                 break
-            g = group[at]
-            first = np.ones(len(at), bool)
-            first[1:] = g[1:] != g[:-1]
-            at = at[first]
-            sym[at] = self._merge.get(sym[at] << 21 | sym[at + 1])
+            at = self._accepted(sym, word, rank, self._leftmost(at))
+            sym[at] = self._merge.get(sym[at].astype(np.int64) << 21 | sym[at + 1])
             keep = ~over
             keep[at + 1] = False
             where = (np.cumsum(keep) - 1)[at]
-            sym, unit, rank = sym[keep], unit[keep], rank[keep]
+            sym, word, rank, place = sym[keep], word[keep], rank[keep], place[keep]
             for p in (where, where[where > 0] - 1):
+                rank[p] = NONE
                 q = p[p + 1 < len(sym)]
-                rank[p[p + 1 >= len(sym)]] = NONE
-                rank[q] = self._ranks(sym, unit, q)
-        if not done_sym:
-            return np.zeros(0, np.int64), np.zeros(len(units) + 1, np.int64)
-        sym, unit = np.concatenate(done_sym), np.concatenate(done_unit)
-        sym = sym[np.argsort(unit, kind="stable")]
-        return sym, np.append(0, np.cumsum(np.bincount(unit, minlength=len(units))))
-
-    def _ranks(self, sym: np.ndarray, unit: np.ndarray, at: np.ndarray) -> np.ndarray:
-        merged = self._merge.get(sym[at] << 21 | sym[at + 1])
-        return np.where((merged >= 0) & (unit[at] == unit[at + 1]), self.rank[merged], NONE)
-
-    def _heap(self, sym: np.ndarray) -> list[int]:
-        """One long unit: the same order of merges (rank, then leftmost), in O(n log n)."""
-        s, n = [int(x) for x in sym], len(sym)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (m := self.pairs.get(s[i] << 21 | s[j])) is not None:
-                heapq.heappush(heap, (int(self.rank[m]), i, s[i], s[j]))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = right[i] if s[i] == a else -1
-            if j < 0 or s[j] != b:
-                continue
-            s[i], s[j], right[i] = self.pairs[a << 21 | b], -1, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            push(i)
-            if left[i] >= 0:
-                push(left[i])
-        return [x for x in s if x >= 0]
-
-    def token_ids(self, sym: np.ndarray) -> list[int]:
-        """Token ids of symbols: a character that is no piece becomes its bytes."""
-        out: list[int] = []
-        for x in sym.tolist():
-            if x < UNKNOWN:
-                out.append(x)
-            else:
-                out.extend(self.byte_ids[list(chr(x - UNKNOWN).encode())].tolist())
-        return out
+                rank[q] = self._ranks(sym, word, q)
+        sym, place = np.concatenate(done_sym), np.concatenate(done_place)
+        order = np.argsort(place, kind="stable")
+        return sym[order], np.diff(np.searchsorted(place[order], begun))
+
+    @staticmethod
+    def _leftmost(at: np.ndarray) -> np.ndarray:
+        """Of pairs at ascending places, those left when each is taken that overlaps none taken before."""
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1] + 1
+        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        return at[(np.arange(len(at)) - head) % 2 == 0]
+
+    def _accepted(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The merges up to each word's first one that makes a pair of a rank not larger than its own."""
+        merged = self._merge.get(sym[at].astype(np.int64) << 21 | sym[at + 1])
+        before = sym[np.maximum(at - 1, 0)]
+        close = np.append(False, at[1:] == at[:-1] + 2)  # the symbol before is one just merged
+        before[close] = merged[np.flatnonzero(close) - 1]
+        inside = (at > 0) & (word[np.maximum(at - 1, 0)] == word[at])
+        left = np.where(inside, self.rank[self._merge.get(before.astype(np.int64) << 21 | merged)], NONE)
+        after = np.minimum(at + 2, len(sym) - 1)
+        inside = (at + 2 < len(sym)) & (word[after] == word[at])
+        right = np.where(inside, self.rank[self._merge.get(merged << 21 | sym[after])], NONE)
+        stop = np.minimum(left, right) <= rank[at]
+        if not stop.any():
+            return at
+        w = word[at]
+        stops = np.cumsum(stop) - stop  # stops before each merge
+        head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        return at[stops == np.repeat(stops[head], np.diff(np.append(head, len(at))))]
+
+    def _ranks(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs at some places; _merge gives -1 for no piece, and rank[-1] is NONE."""
+        merged = self._merge.get(sym[at].astype(np.int64) << 21 | sym[at + 1])
+        return np.where(word[at] == word[at + 1], self.rank[merged], np.int32(NONE))
+
+    def encode_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all units, and the offsets of each unit: a character that is no piece becomes its bytes."""
+        sym, offsets = self.encode_units(units)
+        strange = np.flatnonzero(sym >= UNKNOWN)
+        if not len(strange):
+            return sym, offsets
+        written = [self.byte_ids[list(chr(x - UNKNOWN).encode())] for x in sym[strange].tolist()]
+        size = np.ones(len(sym), np.int64)
+        size[strange] = list(map(len, written))
+        reach = np.cumsum(size)
+        out = np.repeat(sym, size)
+        where = np.repeat(sym >= UNKNOWN, size)
+        out[where] = np.concatenate(written)
+        return out, np.append(0, reach)[offsets]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])

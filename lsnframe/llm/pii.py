@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("phone_national", "ssn", "iban", "card_short", "ipv6", "mac", "email_disguised")
 KINDS = BASE + MORE
@@ -218,9 +220,9 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """signature and n: how often each one occurs among the candidates of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             seen: Counter[int] = Counter()
-            for t in b.column(0).to_pylist():
+            for t in (t for _, _, texts in pieces(batch.column(0)) for t in texts):
                 if t:
                     base, failed = base_spans(t)
                     seen.update(signature(k, t, *s, True) for k, spans in base.items() for s in spans)
@@ -228,7 +230,7 @@ def signatures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seen.update(signature(k, t, a, e) for k, a, e in more_candidates(t, base))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["signature", "n"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "signature long, n long").groupBy("signature").agg(F.sum("n").alias("n"))
+    return mapped(docs.select(F.col(text_col).alias("text")), run, "signature long, n long").groupBy("signature").agg(F.sum("n").alias("n"))
 
 
 def find(text: str | None, model: SpanModel) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
@@ -248,7 +250,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for b in batches:
             counts: dict[str, list[int]] = {k: [] for k in BASE}
             shas, spans, added = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in (t for _, _, texts in pieces(b.column(1)) for t in texts):
                 base, more = find(t, model)
                 for k in BASE:
                     counts[k].append(len(base[k]))
@@ -260,4 +262,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return mapped(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces
 from lsnframe.llm.language_id import held_out
 
 WIDTH, STRIDE, HALF = 8, 4, 128
@@ -206,9 +207,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class:
     net = train(base, labels, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = net.score(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        for batch in batches:
+            for a, b, texts in pieces(batch.column(2), BLOCK):
+                s = net.score(texts)
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return mapped(base, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

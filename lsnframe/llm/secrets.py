@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces, small_batches
+
 # Prefixes and lengths that issuers publish (fixed values).
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA|GPA|IDA|ROA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"
@@ -361,23 +363,31 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
     forest = forest or default_forest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            got = find(texts, forest)
-            sha = [sha256(redact(t or "", s).encode()).hexdigest() for t, (_, s) in zip(texts, got, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([",".join(f"{k}:{i}:{j}" for k, i, j in s) for _, s in got], pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_candidates", "n_secrets", "secrets", "redacted_sha256"])
+        for batch in batches:
+            for a, b, texts in pieces(batch.column(1)):
+                got = find(texts, forest)
+                sha = [sha256(redact(t or "", s).encode()).hexdigest() for t, (_, s) in zip(texts, got, strict=True)]
+                said = [",".join(f"{k}:{i}:{j}" for k, i, j in s) for _, s in got]
+                columns = [pa.array([n for n, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int64()), pa.array(said, pa.string()), pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_candidates", "n_secrets", "secrets", "redacted_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_candidates long, n_secrets long, secrets string, redacted_sha256 string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return mapped(rows, run, f"doc_id {kind}, n_candidates long, n_secrets long, secrets string, redacted_sha256 string")
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns with the secrets in the texts replaced, and the length column brought up to date."""
     forest = forest or default_forest()
 
-    @F.udf("string", useArrow=True)
-    def clean(text: str | None) -> str | None:
-        return text and redact(text, find([text], forest)[0][1])
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def clean(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, texts in pieces(column):
+            out += [t and redact(t, s) for t, (_, s) in zip(texts, find(texts, forest), strict=True)]
+        return pa.array(out, pa.string())
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out

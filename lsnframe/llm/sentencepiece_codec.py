@@ -13,34 +13,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lsnframe.llm.hashing import chunks
-from lsnframe.llm.piece_model import PieceModel, load
+from lsnframe.llm.batches import mapped, pieces, small_batches
+from lsnframe.llm.hashing import Recent
+from lsnframe.llm.piece_model import SLICE, PieceModel, load
 
 
 class Codec:
-    """Encodes texts through a bounded cache of encoded units."""
+    """Encodes texts through a cache of encoded units of about ``most`` bytes."""
 
-    def __init__(self, model: PieceModel, most: int = 400_000) -> None:
-        self.model, self.most = model, most
-        #: unit -> (ids as text, ids, decoded bytes)
-        self.known: dict[str, tuple[str, list[int], bytes]] = {}
+    def __init__(self, model: PieceModel, most: int = 48 << 20) -> None:
+        self.model = model
+        #: unit -> (ids as text, decoded bytes)
+        self._recent = Recent(most)
+        self._names = [str(i) for i in range(len(model.pieces))]
+
+    @property
+    def known(self) -> dict[str, tuple[str, bytes]]:
+        return self._recent.now
 
     def learn(self, units: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        if not new:
-            return
-        sym, offsets = self.model.encode_units(new)
-        at = offsets.tolist()
+        """Makes sure that all units are known; older ones may be forgotten."""
+        new = self._recent.missing(units)
+        lo, held = 0, 0
         for k, u in enumerate(new):
-            ids = self.model.token_ids(sym[at[k] : at[k + 1]])
-            self.known[u] = (",".join(map(str, ids)), ids, self.model.decode_bytes(ids))
+            held += len(u)
+            if held >= SLICE or k == len(new) - 1:
+                ids, offsets = self.model.encode_ids(new[lo : k + 1])
+                ids, at = ids.tolist(), offsets.tolist()
+                names, pieces = [self._names[i] for i in ids], [self.model.bytes_of[i] for i in ids]
+                for j, u in enumerate(new[lo : k + 1]):
+                    self._recent.put(u, (",".join(names[at[j] : at[j + 1]]), b"".join(pieces[at[j] : at[j + 1]])))
+                lo, held = k + 1, 0
+
+    def joined(self, units: list[str]) -> str:
+        """The ids of known units, comma-joined."""
+        known = self.known
+        return ",".join([known[u][0] for u in units])
 
     def encode(self, text: str) -> list[int]:
         units = self.model.units(text)
         self.learn(set(units))
-        return [i for u in units for i in self.known[u][1]]
+        return [int(i) for i in self.joined(units).split(",")] if units else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces for word marks but the leading one, bytes joined as UTF-8."""
@@ -63,37 +76,42 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts, ids_sha, decoded_sha = [], [], []
-            for a, b in chunks(texts):
-                split = [c.model.units(t or "") for t in texts[a:b]]
+            for a, b, texts in pieces(batch.column(1)):
+                counts, ids_sha, decoded_sha = [], [], []
+                split = [c.model.units(t or "") for t in texts]
                 c.learn(set().union(*split))
+                known = c.known
                 for units in split:
-                    got = [c.known[u] for u in units]
-                    counts.append(sum([len(x[1]) for x in got]))
-                    ids_sha.append(sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                    text = b"".join([x[2] for x in got]).decode("utf-8", "replace").removeprefix(" ")
+                    ids = c.joined(units)
+                    counts.append(ids.count(",") + 1 if units else 0)
+                    ids_sha.append(sha256(ids.encode()).hexdigest())
+                    text = b"".join([known[u][1] for u in units]).decode("utf-8", "replace").removeprefix(" ")
                     decoded_sha.append(sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All columns of the input and the token ids of a text as array<int>."""
+    """All columns of the input and the token ids of a text as array<int>, in place of a column of that name."""
+    small_batches(docs.sparkSession)
 
-    @F.udf("array<int>", useArrow=True)
-    def ids(text: str | None) -> list[int]:
-        return codec(model_path).encode(text or "")
+    @F.arrow_udf("array<int>")
+    def ids(column: pa.Array) -> pa.Array:
+        c = codec(model_path)
+        return pa.array([c.encode(t or "") for _, _, texts in pieces(column) for t in texts], pa.list_(pa.int32()))
 
     return docs.withColumn(out_col, ids(F.col(text_col)))
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:
-    """The text of an array of token ids; null ids give the empty text."""
+    """All columns and the text of an array of token ids, in place of a column of that name; null ids give the empty text."""
+    small_batches(tokens.sparkSession)
 
-    @F.udf("string", useArrow=True)
-    def text(ids: list[int] | None) -> str:
-        return codec(model_path).decode(list(ids) if ids is not None else [])
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        c = codec(model_path)
+        return pa.array([c.decode(x.as_py() or []) for x in column], pa.string())
 
     return tokens.withColumn(out_col, text(F.col(ids_col)))

@@ -28,8 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lsnframe.llm.batches import mapped, pieces
 from lsnframe.llm.components import cut
-from lsnframe.llm.hashing import chunks, mix
+from lsnframe.llm.hashing import mix
 
 #: Characters that settle their repeats together before anything is sent.
 CHUNK = 4_000_000
@@ -218,17 +219,16 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHUNK):
-                out = list(_seeds(ids[a:b], texts[a:b], window, seed, buckets))
+            for a, b, texts in pieces(batch.column(1), CHUNK):
+                out = list(_seeds(batch.column(0).slice(a, b - a).to_pylist(), texts, window, seed, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "packed", "settled"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for lo, hi in chunks(columns[1], CHUNK):
+            for lo, hi, texts in pieces(batch.column(1), CHUNK):
                 doc, place, size, value, packed = [], [], [], [], []
-                for d, text, starts, stops, seeds in zip(*(c[lo:hi] for c in columns), strict=True):
+                ids, *spans = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 2, 3, 4))
+                for d, text, starts, stops, seeds in zip(ids, texts, *spans, strict=True):
                     words = words_of(text)
                     for a, b, v in zip(starts, stops, seeds, strict=True):
                         doc.append(d)
@@ -240,12 +240,12 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
                 out = [(k, _pack(d[i], p[i], s[i], text=b" ".join([packed[j] for j in i.tolist()]))) for k, i in _by_bucket(_bucket_of(v.view(np.uint64), buckets), v)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "packed"])
 
-    sent = rows.mapInArrow(send, "bucket int, packed binary, settled binary")
+    sent = mapped(rows, send, "bucket int, packed binary, settled binary")
     found = cut(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, start int, stop int, seed long"))
     wanted = found.where("seed IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
     # other names, so that the shuffle of the rows by id looks like the caller's and is done once
     again = rows.select(F.col("doc_id").alias("d"), F.col("text").alias("t"))
-    travelling = again.join(wanted, F.col("d") == F.col("doc_id")).select("d", "t", "start", "stop", "seed").mapInArrow(strings, "bucket int, packed binary")
+    travelling = mapped(again.join(wanted, F.col("d") == F.col("doc_id")).select("d", "t", "start", "stop", "seed"), strings, "bucket int, packed binary")
     settled = travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int")
     return settled.unionAll(found.where("seed IS NULL").select("doc_id", "start", "stop"))
 
@@ -262,7 +262,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: in
     def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept_sha, kept = [], [], [], []
-            for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, starts, stops in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = text.as_py()
                 words = words_of(text)
                 n_words.append(len(words))
                 if starts:
@@ -279,4 +280,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: in
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha, pa.string())] + [pa.array(kept, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
 
-    return rows.mapInArrow(kept_words, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_type}")
+    return mapped(rows, kept_words, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_type}")

@@ -20,18 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lsnframe.llm.hashing import IntMap, chunks
-from lsnframe.llm.piece_model import UNKNOWN, PieceModel, load
+from lsnframe.llm.batches import mapped, pieces, small_batches
+from lsnframe.llm.hashing import IntMap, Recent
+from lsnframe.llm.piece_model import SLICE, UNKNOWN, PieceModel, load
 
 START = (1 << 21) - 1  # stands before the first token of a unit
 
 
 class PrefixCounter:
-    def __init__(self, model: PieceModel, most: int = 1_000_000) -> None:
-        self.model, self.most = model, most
-        self.known: dict[str, int] = {}
-        self.pairs: dict[int, bool] = {}
-        self._table = IntMap(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def __init__(self, model: PieceModel, most: int = 48 << 20, most_pairs: int = 400_000) -> None:
+        """``most`` bounds the bytes of the cache of units, ``most_pairs`` that of pairs of tokens."""
+        self.model, self.most_pairs = model, most_pairs
+        self._recent = Recent(most)
+        self._pairs, self._apart = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._table = IntMap(self._pairs, self._apart)
         self._fresh: dict[int, bool] = {}
         edges: dict[tuple[int, str], int] = {}
         self._token = [-1]
@@ -44,7 +46,7 @@ class PrefixCounter:
             self._token[at] = i
         keys = np.array([s << 21 | ord(c) for s, c in edges], np.int64)
         self._trie = IntMap(keys, np.fromiter(edges.values(), np.int64, len(edges)))
-        self._token = np.array(self._token, np.int64)
+        self._token = np.array(self._token, np.int32)
 
     def _stand(self, keys: np.ndarray) -> np.ndarray:
         """Whether the tokens of each key (first << 21 | second) stay apart when encoded together."""
@@ -70,25 +72,51 @@ class PrefixCounter:
         return got > 0
 
     def _settle(self) -> None:
-        """Moves freshly learned pairs into the table."""
-        if len(self._fresh) > max(2_000, len(self.pairs) // 8):
-            if len(self.pairs) > 4 * self.most:
-                self.pairs.clear()
-            self.pairs.update(self._fresh)
-            self._fresh = {}
-            n = len(self.pairs)
-            self._table = IntMap(np.fromiter(self.pairs.keys(), np.int64, n), np.fromiter(self.pairs.values(), np.int64, n))
+        """Moves freshly learned pairs into the table; a full one is begun anew."""
+        if len(self._fresh) > max(2_000, len(self._pairs) // 8):
+            n = len(self._fresh)
+            keys, apart = np.fromiter(self._fresh.keys(), np.int64, n), np.fromiter(self._fresh.values(), bool, n)
+            if len(self._pairs) + n <= self.most_pairs:
+                keys, apart = np.concatenate((self._pairs, keys)), np.concatenate((self._apart, apart))
+            self._pairs, self._apart, self._fresh = keys, apart, {}
+            self._table = IntMap(keys, apart)
 
     def prefix_counts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The exact count at every prefix of every unit (the empty one first), and each unit's place."""
+        """The exact count at every prefix of every unit (the empty one first), and each unit's place.
+
+        About SLICE characters are held at a time, or one word that is longer."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.append(0, np.cumsum(lens + 1))  # a unit of n characters has n + 1 prefixes
-        char_unit = np.repeat(np.arange(len(units)), lens)
-        spot = np.arange(len(chars)) + char_unit  # the prefix before each character
-        end_of = (first[1:] - 1)[char_unit]
-        ends, starts, tokens = [], [], []
-        at, state = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        count = np.zeros(first[-1], np.int64)
+        if not len(chars):
+            return count, first
+        off = np.append(0, np.cumsum(lens))
+        ends = np.append(self.model.word_ends(chars), True)
+        ends[off[1:][lens > 0] - 1] = True
+        ends = np.flatnonzero(ends) + 1
+        inside, begins, lo = [], [], 0
+        while lo < len(chars):
+            hi = max(int(ends[np.searchsorted(ends, lo, side="right")]), int(ends[np.searchsorted(ends, lo + SLICE, side="right") - 1]))
+            n, new = self._word_counts(chars[lo:hi], ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, hi, side="right")] - lo)
+            inside.append(n)
+            begins.append(new)
+            lo = hi
+        self._settle()
+        n, begin = np.concatenate(inside), np.flatnonzero(np.concatenate(begins))
+        word = np.cumsum(np.concatenate(begins)) - 1
+        total = n[np.append(begin[1:], len(n)) - 1].astype(np.int64)
+        before = np.cumsum(total) - total  # tokens of all words before each word
+        of = np.repeat(np.arange(len(units)), lens)
+        count[np.arange(len(chars)) + of + 1] = n + before[word] - before[word[off[:-1][of]]]
+        return count, first
+
+    def _word_counts(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For characters of words that end at ``ends``: the count up to and with each one inside its
+        part of a word, and where such parts begin: where no occurrence of a piece reaches across."""
+        starts, stops, tokens = [], [], []
+        at, state = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.int64)
+        end_of = ends[np.searchsorted(ends, at, side="right")].astype(np.int32)
         step = 0
         while len(at):
             state = self._trie.get(state << 21 | chars[at + step])
@@ -97,40 +125,51 @@ class PrefixCounter:
             step += 1
             token = self._token[state]
             full = token >= 0
-            starts.append(spot[at[full]])
-            ends.append(spot[at[full]] + step)
+            starts.append(at[full])
+            stops.append(at[full] + np.int32(step))
             tokens.append(token[full])
-            more = spot[at] + step < end_of[at]
+            more = at + step < end_of[at]
             at, state = at[more], state[more]
-        lone = np.flatnonzero(self.model.char_id[chars] >= UNKNOWN)
-        starts.append(spot[lone])
-        ends.append(spot[lone] + 1)
+        lone = np.flatnonzero(self.model.char_id[chars] >= UNKNOWN).astype(np.int32)
+        starts.append(lone)
+        stops.append(lone + np.int32(1))
         tokens.append(self.model.char_id[chars[lone]])
-        start, end, token = map(np.concatenate, (starts, ends, tokens))
-        last, count = np.full(first[-1], START), np.zeros(first[-1], np.int64)
-        cost = np.ones(len(token), np.int64)
-        code = token - UNKNOWN
-        cost[code >= 0] += (code[code >= 0] > 0x7F).astype(np.int64) + (code[code >= 0] > 0x7FF) + (code[code >= 0] > 0xFFFF)
-        place = end - first[np.searchsorted(first, end, side="right") - 1]
+        start, stop, token = map(np.concatenate, (starts, stops, tokens))
+        over = np.bincount(start + 1, minlength=len(chars) + 2) - np.bincount(stop, minlength=len(chars) + 2)
+        begins = np.cumsum(over)[: len(chars)] == 0
+        part = np.maximum.accumulate(np.where(begins, np.arange(len(chars), dtype=np.int32), 0))
+        place = stop - part[stop - 1]
         order = np.argsort(place, kind="stable")
-        start, end, token, cost, place = start[order], end[order], token[order], cost[order], place[order]
+        start, stop, token, place = start[order], stop[order], token[order], place[order]
+        cost = np.ones(len(token), np.int32)
+        code = token - UNKNOWN
+        cost[code >= 0] += (code[code >= 0] > 0x7F).astype(np.int32) + (code[code >= 0] > 0x7FF) + (code[code >= 0] > 0xFFFF)
+        last, count = np.full(len(chars) + 1, START, np.int64), np.zeros(len(chars) + 1, np.int32)  # the last one: nothing before
+        head = np.where(begins[start], len(chars), start - 1)
         bounds = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            s = start[lo:hi]
-            ok = self._stand(last[s] << 21 | token[lo:hi])
-            e = end[lo:hi][ok]
-            last[e] = token[lo:hi][ok]
+            s, t = head[lo:hi], token[lo:hi]
+            ok = self._stand(last[s] << 21 | t)
+            e = stop[lo:hi][ok] - 1
+            last[e] = t[ok]
             count[e] = count[s[ok]] + cost[lo:hi][ok]
-        self._settle()
-        return count, first
+        return count[:-1], begins
+
+    @property
+    def known(self) -> dict[str, int]:
+        return self._recent.now
 
     def learn(self, units: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        if new:
-            count, first = self.prefix_counts(new)
-            self.known.update(zip(new, count[first[1:] - 1].tolist(), strict=True))
+        """Makes sure that the counts of all units are known; older ones may be forgotten."""
+        new = self._recent.missing(units)
+        lo, held = 0, 0
+        for k, u in enumerate(new):
+            held += len(u)
+            if held >= SLICE or k == len(new) - 1:
+                count, first = self.prefix_counts(new[lo : k + 1])
+                for u, n in zip(new[lo : k + 1], count[first[1:] - 1].tolist(), strict=True):
+                    self._recent.put(u, n)
+                lo, held = k + 1, 0
 
     def text_counts(self, text: str) -> np.ndarray:
         """The exact token count of text[:i] for every i from 0 to len(text)."""
@@ -167,35 +206,38 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n_bytes, n_tokens = [], []
-            for a, b in chunks(texts):
-                split = [c.model.units(t or "") for t in texts[a:b]]
+            for a, b, texts in pieces(batch.column(1)):
+                split = [c.model.units(t or "") for t in texts]
                 c.learn(set().union(*split))
                 known = c.known.__getitem__
-                n_tokens += [sum(map(known, units)) for units in split]
-                n_bytes += [len((t or "").encode()) for t in texts[a:b]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                n_tokens = [sum(map(known, units)) for units in split]
+                n_bytes = [len((t or "").encode()) for t in texts]
+                columns = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, rows.schema.simpleString().split(",text:")[0][7:] + ", n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, run, rows.schema.simpleString().split(",text:")[0][7:] + ", n_bytes long, n_tokens long, over_limit boolean")
 
 
 def prefix_token_counts(text: Column, model_path: str) -> Column:
     """array<int> of the token counts of all prefixes of a text, the empty one first; null: [0]."""
 
-    @F.udf("array<int>", useArrow=True)
-    def counts(t: str | None) -> list[int]:
-        return counter(model_path).text_counts(t or "").tolist()
+    @F.arrow_udf("array<int>")
+    def counts(column: pa.Array) -> pa.Array:
+        c = counter(model_path)
+        return pa.array([c.text_counts(t.as_py() or "") for t in column], pa.list_(pa.int32()))
 
     return counts(text)
 
 
 def truncate(docs: DataFrame, model_path: str, budget: int, text_col: str = "text", out_col: str = "truncated") -> DataFrame:
-    """All columns, and the longest prefix of a text whose own token count is at most ``budget``."""
+    """All columns, and the longest prefix of a text whose own token count is at most ``budget``, in place of a column of that name."""
+    small_batches(docs.sparkSession)
 
-    @F.udf("string", useArrow=True)
-    def cut(t: str | None) -> str | None:
-        return None if t is None else t[: int(np.flatnonzero(counter(model_path).text_counts(t) <= budget)[-1])]
+    @F.arrow_udf("string")
+    def cut(column: pa.Array) -> pa.Array:
+        c = counter(model_path)
+        texts = (t for _, _, texts in pieces(column) for t in texts)
+        return pa.array([None if t is None else t[: int(np.flatnonzero(c.text_counts(t) <= budget)[-1])] for t in texts], pa.string())
 
     return docs.withColumn(out_col, cut(F.col(text_col)))
 
