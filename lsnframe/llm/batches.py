@@ -55,11 +55,3 @@ def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, li
         end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, side="right")))
         yield at, end, column.slice(at, end - at).to_pylist()
         at = end
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that the rows don't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a session that names none gets one of its own."""
+    """The folder in spark.checkpoint.dir, or the one that the session's context has been given.
+
+    A session with neither has to be on one machine; it gets a folder of its own there.  On a cluster
+    that would be one machine's disk, so RuntimeError is raised."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,25 +29,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Edges of one node that a task takes, as long as there are fewer than 50,000 times as many edges.
+MOST = 256
+
+
+def _facts(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _beside_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """u, v and m, the smallest v of u, for every row.  A node with more than ``most`` rows is dealt into
+    parts by v, and so is its smallest neighbour, so that no task gets all rows of a hub.
+
+    The hubs are broadcast: with n rows there are at most n / most of them, 100,000 by the choice of most."""
+    hubs = least.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(hubs), "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1))
+    return rows.join(least.select("u", "m", parts.alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (smallest id that can be reached) of every id of an edge that isn't a loop.
 
-    Only minima are gathered for an id, never its list of neighbours, and every row count stays
-    below the number of edges, so neither a hub nor a long chain ends up in one task."""
+    Only minima are gathered for an id, never its list of neighbours; hubs are split; and every row count
+    stays below twice the number of edges.  So neither a hub nor a long chain ends up in one task."""
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    last = _fingerprint(e)
+    last = _facts(e)
     while last[0]:
+        most = max(MOST, last[0] // 50_000)
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _beside_least(both, _least(both), most).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        least = _least(large)
+        small = _beside_least(large, least, most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _fingerprint(e)
+        now = _facts(e)
         if now == last:
             break
         last = now

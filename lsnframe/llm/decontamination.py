@@ -1,26 +1,32 @@
 """Benchmark decontamination with DataFrame functions only (operator 10).
 
-The normalised windows of all benchmark items form a hash set that is sent to every task.  A text is
-split into words once; one hash for each *aligned* block of half a window finds the places worth a
-look (a window of 10 consecutive words always covers an aligned block of 5), and only there whole
-windows are compared, word for word.  No row leaves its task before its hits are known.
-
-The set is sent only up to ``most_windows`` windows; a larger benchmark is joined by window hash over
-a shuffle instead (128 hash bits then stand for the window's words).
-
-Null texts have no words; items without words are ignored; an item with fewer than ``window`` words
-is one window of that length.  Item ids that are null count as hits but are not listed.  Repeated
-rows give repeated results and other columns of the inputs are not read, whatever their names.
+The normalised windows of all benchmark items form a hash set that is broadcast.  A text is split into
+words once; one hash for each *aligned* block of half a window finds the places worth a look (a window of
+10 consecutive words always covers an aligned block of 5), and only there whole windows are compared, word
+for word, with the broadcast windows.  No text leaves its task: after both joins a document is a few rows of
+numbers.
+
+A broadcast holds at most ``most_bytes``, which is checked: a larger benchmark is dealt by hash into parts
+of that size, and the same scan is made once a part.
+
+Null and empty texts have no words; items without words are ignored; an item with fewer than ``window``
+words is one window of that length.  Item ids that are null count as hits but are not listed.  Repeated
+rows give repeated results, an empty benchmark hits nothing, an empty table gives an empty result.  Texts of
+any length are read whole.  Other columns of the inputs are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lsnframe.llm.components import cut
+from lsnframe.llm.components import cut, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of benchmark windows, and of their block hashes, that are broadcast at once.
+MOST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -39,91 +45,99 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, id_col: str = "ite
     return each.groupBy("n", "window").agg(F.collect_set("item").alias("items"))
 
 
-def _hits_sql(by_length: dict[int, list[str]], spark) -> str:
-    """SQL over column w: an array of (start, words) for every occurrence of a window."""
-    found = []
-    for n, texts in sorted(by_length.items()):
-        half = (n + 1) // 2
-        parts = spark.createDataFrame([(t,) for t in texts], "t string").select(F.split("t", " ").alias("w"))
-        keys = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - half + 1)), lambda s: F.xxhash64(F.slice(F.col("w"), s, half)))).alias("h")).distinct()
-        hashes = ",".join(str(r.h) + "L" if r.h > -(2**63) else "-9223372036854775808" for r in keys.toLocalIterator())
-        quoted = ",".join(f"'{t}'" for t in texts)
-        last = f"(size(w) - {n})"
-        blocks = f"filter(sequence(0, size(w) div {half} - 1), j -> xxhash64(slice(w, j * {half} + 1, {half})) IN ({hashes}))"
-        starts = f"array_distinct(flatten(transform({blocks}, j -> sequence(greatest(j * {half} - {n - half}, 0), least(j * {half}, {last})))))"
-        hits = f"filter(transform({starts}, s -> struct(s AS s, {n} AS n, array_join(slice(w, s + 1, {n}), ' ') AS t)), x -> x.t IN ({quoted}))"
-        found.append(f"CASE WHEN size(w) >= {n} THEN {hits} ELSE array() END")
-    return f"concat({', '.join(found)})"
-
-
-def _by_length(benchmark: DataFrame, window: int, most_windows: int = 100_000) -> dict[int, list[str]] | None:
-    """The windows of each length; None if there are too many to send."""
-    rows = benchmark_windows(benchmark, window).select("n", "window").limit(most_windows + 1).collect()
-    if len(rows) > most_windows:
-        return None
-    by_length: dict[int, list[str]] = {}
-    for r in rows:
-        by_length.setdefault(r.n, []).append(r.window)
-    return by_length
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_windows: int = 100_000) -> DataFrame | None:
-    """docs with the columns w and hits, made without a shuffle; None if the benchmark is too large to send."""
-    by_length = _by_length(benchmark, window, most_windows)
-    if by_length is None:
-        return None
-    split = docs.withColumn("w", words(F.col(text_col)))
-    none = F.expr("cast(array() AS array<struct<s: int, n: int, t: string>>)")
-    return split.withColumn("hits", F.expr(_hits_sql(by_length, docs.sparkSession)) if by_length else none)
-
-
-def _covered(hits: str) -> Column:
-    return F.size(F.array_distinct(F.flatten(F.transform(F.col(hits), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_windows: int = 100_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    windows = benchmark_windows(benchmark, window)
-    hit = with_hits(base, benchmark, window, "text", most_windows)
-    if hit is None:
-        per_row = _joined(base, windows)
-    else:
-        found = hit.select("row", "doc_id", F.size("w").alias("n_words"), F.when(F.size("hits") > 0, _covered("hits")).otherwise(0).alias("n_hit"), F.explode_outer(F.expr("array_distinct(transform(hits, x -> x.t))")).alias("window"))
-        found = found.join(F.broadcast(windows.select("window", "items")), "window", "left")
-        per_row = found.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+def _half(n: Column) -> Column:
+    return F.floor((n + 1) / 2).cast("int")
+
+
+def _blocks(windows: DataFrame) -> DataFrame:
+    """Hashes of all runs of half a window in the windows, with the windows' length."""
+    split = windows.select("n", _half(F.col("n")).alias("half"), F.split("window", " ").alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("half") + 1), lambda s: F.xxhash64("n", F.slice("w", s, F.col("half"))))
+    return split.select(F.explode(runs).alias("block")).distinct()
+
+
+def _parts(windows: DataFrame, most_bytes: int) -> tuple[list[DataFrame], list[int]]:
+    """The windows in parts of at most about ``most_bytes`` each, and the lengths that occur."""
+    own = F.octet_length("window") + F.coalesce(F.aggregate(F.col("items"), F.lit(0), lambda a, x: a + F.octet_length(x) + 16), F.lit(0)) + 16 * F.col("n") + 64
+    facts = windows.agg(F.sum(own).alias("bytes"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
+    many = -(-(facts.bytes or 0) // most_bytes)
+    part = F.pmod(F.xxhash64("window"), F.lit(max(1, many)))
+    return [windows.where(part == i) if many > 1 else windows for i in range(many)], list(facts.lengths)
+
+
+def _looked_at(base: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """keys, s, n, items for every occurrence of a window, and one row with null s for every row of base.
+
+    base: key columns and the words w.  Block numbers of all lengths follow each other in one sequence, whose
+    last number stands for the row itself."""
+    size, count, first = F.size("w"), F.lit(0), []
+    for n in lengths:
+        first.append(count)
+        count = count + F.when(size >= n, F.floor(size / ((n + 1) // 2))).otherwise(0).cast("int")
+    keys = [c for c in base.columns if c != "w"]
+    rows = base.select(*keys, "w", count.alias("many"), F.explode(F.sequence(F.lit(0), count)).alias("i"))
+    n, j = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for length, begin in zip(lengths, first, strict=True):
+        n, j = F.when((F.col("i") >= begin) & (F.col("i") < F.col("many")), F.lit(length)).otherwise(n), F.when((F.col("i") >= begin) & (F.col("i") < F.col("many")), F.col("i") - begin).otherwise(j)
+    rows = rows.select(*keys, "w", n.alias("n"), j.alias("j"))
+    half = _half(F.col("n"))
+    block = F.when(F.col("n").isNotNull(), F.xxhash64("n", F.slice("w", F.col("j") * half + 1, half)))
+    known = F.broadcast(_blocks(windows).withColumn("known", F.lit(True)))
+    rows = rows.withColumn("block", block).join(known, "block", "left").where("known OR n IS NULL")
+    low, high = F.greatest(F.col("j") * half + half - F.col("n"), F.lit(0)), F.least(F.col("j") * half, F.size("w") - F.col("n"))
+    rows = rows.select(*keys, "w", "n", F.explode_outer(F.sequence(low, high)).alias("s"))
+    rows = rows.select(*keys, "n", "s", F.array_join(F.slice("w", F.coalesce(F.col("s"), F.lit(0)) + 1, F.coalesce(F.col("n"), F.lit(0))), " ").alias("window"))
+    found = rows.join(F.broadcast(windows.select("window", "items")), "window", "left")
+    return found.where("s IS NULL OR items IS NOT NULL").select(*keys, "s", "n", "items")
+
+
+def _occurrences(base: DataFrame, benchmark: DataFrame, window: int, most_bytes: int) -> DataFrame:
+    """keys, hits (start and length of each occurrence) and items (sorted ids) of every row of base."""
+    windows = cut(benchmark_windows(benchmark, window))
+    parts, lengths = _parts(windows, most_bytes)
+    keys = [c for c in base.columns if c != "w"]
+    none = base.select(*keys, F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<string>").alias("items"))
+    found = reduce(DataFrame.unionAll, [_looked_at(base, p, lengths) for p in parts]) if parts else none
+    hits = F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "n"))).alias("hits")
+    return found.groupBy(*keys).agg(hits, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def _covered(hits: Column) -> Column:
+    """How many words the occurrences cover, each counted once."""
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+    def grow(a: Column, x: Column) -> Column:
+        end = x["s"] + x["n"]
+        return F.struct(F.greatest(a["end"], end).alias("end"), (a["n"] + F.greatest(F.lit(0), end - F.greatest(a["end"], x["s"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(hits), begin, grow, lambda a: a["n"])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row.
+
+    Rows are numbered where they are read and meet again by that number.  That is the same number in every
+    attempt of a task over files; rows that come out of a shuffle should be written first."""
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
+    per_row = _occurrences(base, benchmark, window, most_bytes)
+    n_hit = _covered(F.col("hits")).cast("long")
     return per_row.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
 
 
-def _joined(base: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: every window's hash goes through a shuffle join."""
-    key = lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b"))
-    lengths = [r.n for r in windows.select("n").distinct().collect()]  # 10 values at most
-    split = base.select("row", "doc_id", words(F.col("text")).alias("w"))
-    each = [split.where(F.size("w") >= n).select("row", F.lit(n).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda s: key(F.slice(F.col("w"), s + 1, n)))).alias("s", "k")) for n in lengths]
-    found = each[0]
-    for other in each[1:]:
-        found = found.unionAll(other)
-    keyed = windows.select("n", key(F.split("window", " ")).alias("k"), "items")
-    found = found.join(keyed, ["n", "k"]).groupBy("row").agg(F.collect_set(F.struct("s", "n")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return split.select("row", "doc_id", F.size("w").alias("n_words")).join(found, "row", "left").select(
-        "doc_id", "n_words", F.when(F.col("hits").isNotNull(), _covered("hits")).otherwise(0).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    )
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_windows: int = 100_000) -> DataFrame:
-    """The rows, with all their columns, in which no window of the benchmark occurs, each judged by its
-    own text and whatever its id.
-
-    The rows are written before they are filtered: a filter would move below the projection that splits
-    the words, and split them again for every block."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"), F.col(text_col).alias("text"))
-    hit = with_hits(rows, benchmark, window, "text", most_windows)
-    if hit is not None:
-        return cut(hit.select("doc", (F.size("hits") == 0).alias("clean"))).where("clean").select("doc.*")
-    rows = cut(rows)
-    gone = scan(rows, benchmark, window, "row", "text", most_windows).where("contaminated").select(F.col("doc_id").alias("row"))
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows, with all their columns, in which no window of the benchmark occurs.
+
+    A row's own text decides, whatever its id: rows are held against the 128-bit hashes of contaminated texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    base = docs.select(one.alias("_one"), two.alias("_two"), words(F.col(text_col)).alias("w"))
+    windows = cut(benchmark_windows(benchmark, window))
+    parts, lengths = _parts(windows, most_bytes)
+    if not parts:
+        return docs
+    gone = reduce(DataFrame.unionAll, [_looked_at(base, p, lengths).where("s IS NOT NULL").select("_one", "_two") for p in parts]).distinct()
+    a, b = unused(docs, "one"), unused(docs, "two")
+    return docs.join(gone.toDF(a, b), (one == F.col(a)) & (two == F.col(b)), "left_anti")

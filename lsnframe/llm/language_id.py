@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lsnframe.llm.batches import mapped, pieces, small_batches, unused
+from lsnframe.llm.batches import mapped, pieces, small_batches
+from lsnframe.llm.components import unused
 
 UNKNOWN = "und"
 #: Characters of a text that are counted together.

@@ -162,7 +162,7 @@ def brute_hits(rows, items, window):
     return out
 
 
-@pytest.mark.parametrize("most", [100_000, 3])
+@pytest.mark.parametrize("most", [64 << 20, 700])
 def test_decontamination(spark, most):
     r = random.Random(6)
     items = [(i, prose(r, r.randint(11, 30), 50)) for i in range(12)] + [(20, "Short Item, five words HERE"), (21, "Über"), (22, ""), (23, None), (24, "one two three four five six seven eight nine"), (25, "Short item five words here")]
@@ -173,10 +173,10 @@ def test_decontamination(spark, most):
         rows.append((i, prose(r, r.randint(0, 9), 50) + ".\n" + "--".join(cut) + "!" + prose(r, r.randint(0, 9), 50)))
     rows += [(70, None), (71, ""), (72, "a short-item five (words) here."), (73, "über"), (74, "ÜBER"), (75, "x one two three four five six seven eight nine y"), (76, items[0][1] * 3), (77, items[0][1])]
     df, bench = frame(spark, rows), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in scan(df, bench, most_windows=most).collect()}
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in scan(df, bench, most_bytes=most).collect()}
     want = brute_hits(rows, items, 10)
     assert got == want and any(x[4] for x in want.values())
-    if most > 3:
+    if most > 700:
         left = keep_clean(df, bench)
         assert left.columns == df.columns and {x.doc_id for x in left.collect()} == {i for i, x in want.items() if not x[4]}
 
@@ -241,8 +241,8 @@ def test_filters_judge_rows_and_not_ids(spark):
     assert len(kept) == 5 and kept[0] in (2, 3) and kept[1] in (4, 5) and kept[2] in (6, 7) and kept[3:] == [8, 9]
     rows = [(None, "x " + leak, 1, 0), (None, prose(30), 2, 0), (5, leak + " y", 3, 0), (5, prose(30), 4, 0), (6, None, 5, 0), (None, None, 6, 0)]
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
-    for most in (100_000, 3):  # sent to every task, and joined by a shuffle
-        left = keep_clean(spark.createDataFrame(rows, schema), bench, most_windows=most)
+    for most in (64 << 20, 700):  # one part, and several
+        left = keep_clean(spark.createDataFrame(rows, schema), bench, most_bytes=most)
         assert left.columns == ["doc_id", "text", "row", "w"] and sorted(x.row for x in left.collect()) == [2, 4, 5, 6]
 
 
@@ -259,16 +259,17 @@ def test_vectors_of_each_length_meet(spark):
         assert got[i].n_links == len(links) > 0 and got[i].component_id <= min(links)
 
 
-def test_as_many_vectors_meet_with_more_pivots():
+def test_as_many_vectors_are_found_with_more_pivots():
     r = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
     a, z = unit(r.normal(size=(8000, 64))), r.normal(size=(8000, 64))
     b = 0.95 * a + (1 - 0.95**2) ** 0.5 * unit(z - (z * a).sum(1)[:, None] * a)
-    sample = unit(r.normal(size=(4096, 64)))
-    for rows in (200_000, 200_001, 800_004, 3_200_016):
-        pivots = embedding_dedup._pivots_for(rows)
-        at = embedding_dedup.choose_pivots(sample, pivots).T
-        near = 6 + embedding_dedup._MORE[pivots]
-        p, q = (np.argsort(-(x @ at), axis=1)[:, :near] for x in (a, b))
-        assert ((p[:, :, None] == q[:, None, :]).sum((1, 2)) >= 2).mean() > 0.998
-    assert [embedding_dedup._pivots_for(n) for n in (200_000, 200_001, 800_004, 3_200_016)] == [128, 256, 512, 1024]
+    sizes = [embedding_dedup.index_size(n) for n in (1, 200_000, 200_001, 800_001, 3_200_001, 12_800_001)]
+    assert sizes == [(128, 7), (128, 7), (256, 8), (512, 8), (1024, 9), (2048, 9)]
+    for pivots, near in sizes[1:]:
+        at = embedding_dedup.choose_pivots(unit(r.normal(size=(max(4096, 2 * pivots), 64))), pivots)
+        p, q = (embedding_dedup.ordered(x, at, near) for x in (a, b))
+        same = p[:, :, None] == q[:, None, :]
+        nearness = np.arange(near, 0, -1)
+        found = (same.sum((1, 2)) >= 2) & ((same * nearness[:, None] * nearness).sum((1, 2)) >= 0.35 * near**2)
+        assert found.mean() > 0.998
