@@ -1,14 +1,15 @@
 """A byte-level convolutional quality classifier in numpy (operator 9).
 
-A text's bytes are embedded, joined by one channel that marks bytes ending a run of 16 that also
-occurred up to 160 bytes earlier, and seen by learned filters of 8 bytes at every fourth byte.
-Chunks of 1,024 bytes overlap by half and cover the whole document; each filter is max-pooled over a
-chunk, chunks are averaged, and a logistic layer turns them into one probability.
-
-It is trained on the driver with Adam on about ``per_class`` labelled documents of each class,
-picked by a hash of the id; training and scoring read all chunks of whole texts.  With fewer than two classes every score is 0.5.  A null text counts as empty and is
-scored like any other.  Rows with a null id or label are scored but not learned from; where an id
-has several labels, the smallest counts.  Repeated rows give repeated results.
+A text's bytes are embedded and seen by learned filters of WIDTH bytes at every STRIDE-th byte.  Chunks of
+1,024 bytes overlap by half and cover the whole document; each filter is max-pooled over a chunk, the
+pooled values are averaged over chunks, and a logistic layer turns them into one probability.
+
+It is trained on the driver with Adam on about ``per_class`` labelled documents of each class, picked by a
+hash of the id; training and scoring read all chunks of whole texts, a bounded number of bytes at a time.
+With fewer than two classes every score is 0.5.  A null text counts as empty and is scored like any other.
+Rows with a null id or label are scored but not learned from; where an id has several labels, the smallest
+counts, and where it has several texts, one of them.  Repeated rows give repeated results, an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,53 +24,30 @@ from pyspark.sql import functions as F
 from lsnframe.llm.batches import mapped, pieces
 from lsnframe.llm.language_id import held_out
 
-WIDTH, STRIDE, HALF = 8, 4, 128
+WIDTH, STRIDE, HALF = 24, 4, 128
 EMBED, FILTERS = 6, 24
-LAGS, RUN = 160, 16
+#: Bytes of texts that are scored together.
 BLOCK = 1_000_000
-#: Half chunks, and chunks, that training holds at a time.
+#: Half chunks, and chunks, that are held at a time.
 HELD = 1024
 
 
-def recurrence(b: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """1 where 16 bytes end that stand, inside the document, 2 to 160 bytes earlier as well."""
-    out = np.zeros(len(b), bool)
-    for lag in range(2, min(LAGS, len(b) - RUN) + 1):
-        e = b[lag:] == b[:-lag]
-        e &= place[lag:] >= lag
-        r = e[1:] & e[:-1]
-        r = r[2:] & r[:-2]
-        r = r[4:] & r[:-4]
-        r = r[8:] & r[:-8]
-        out[lag + RUN - 1 :] |= r
-    return out
+def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each padded with zeros, and documents' bounds."""
+    raw = [(t or "").encode() for t in texts]
+    size = np.array([len(r) + WIDTH + -len(r) % STRIDE for r in raw], np.int64)
+    b = np.frombuffer(b"".join([*(r + b"\0" * (WIDTH + -len(r) % STRIDE) for r in raw), b"\0" * WIDTH]), np.uint8)
+    return b, np.append(0, np.cumsum(size))
 
 
-def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts (each padded with zeros), the recurrence channel, and documents' bounds."""
-    raw = [(t or "").encode() for t in texts]
-    padded = [r + b"\0" * (WIDTH + -len(r) % STRIDE) for r in raw]
-    b = np.frombuffer(b"".join(padded) + b"\0" * WIDTH, np.uint8)
-    size = np.array([len(p) for p in padded], np.int64)
-    off = np.append(0, np.cumsum(size))
-    place = np.minimum(np.arange(off[-1]) - np.repeat(off[:-1], size), 255).astype(np.uint8)
-    rec = np.zeros(len(b), bool)
-    rec[: off[-1]] = recurrence(b[: off[-1]], place)
-    return b, rec, off
-
-
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``layout`` of all texts, made of about BLOCK characters at a time."""
-    parts, size, group = [], 0, []
-    for i, t in enumerate(texts):
-        group.append(t)
-        size += len(t or "")
-        if size >= BLOCK or i == len(texts) - 1:
-            b, rec, off = layout(group)
-            parts.append((b[: off[-1]], rec[: off[-1]], np.diff(off)))
-            size, group = 0, []
-    b = np.concatenate([*(p[0] for p in parts), np.zeros(WIDTH, np.uint8)])
-    return b, np.concatenate([*(p[1] for p in parts), np.zeros(WIDTH, bool)]), np.append(0, np.cumsum(np.concatenate([p[2] for p in parts])))
+def _halves(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, first bytes and windows of all half chunks; a document's last windows, which would reach
+    into the next one, don't count."""
+    steps = np.diff(off) // STRIDE
+    n = -(-steps // HALF)
+    doc = np.repeat(np.arange(len(steps)), n)
+    k = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    return doc, off[doc] + k * HALF * STRIDE, np.clip(steps[doc] - (WIDTH // STRIDE - 1) - k * HALF, 0, HALF)
 
 
 class Network:
@@ -78,65 +56,55 @@ class Network:
     def __init__(self, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         self.p = {
-            "e": r.normal(0, 0.5, (256, EMBED)), "w": r.normal(0, (1 / (WIDTH * (EMBED + 1))) ** 0.5, (WIDTH * (EMBED + 1), FILTERS)),
+            "e": r.normal(0, 0.5, (256, EMBED)), "w": r.normal(0, (1 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)),
             "b": np.zeros(FILTERS), "v": r.normal(0, 0.3, FILTERS), "c": np.zeros(1),
         }
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         self.trained = False
 
-    def windows(self, b: np.ndarray, rec: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
-        """Embedded windows at byte offsets ``at``, or at every STRIDE-th of the first n bytes."""
-        if at is not None:
-            idx = at[:, None] + np.arange(WIDTH)
-            return np.concatenate((self.p["e"][b[idx]], rec[idx][..., None].astype(np.float32)), 2).reshape(len(at), -1)
-        x = np.concatenate((self.p["e"][b[: n + WIDTH]], rec[: n + WIDTH, None].astype(np.float32)), 1)
-        rows, row = x.strides
-        return np.lib.stride_tricks.as_strided(x, (n // STRIDE, WIDTH * (EMBED + 1)), (rows * STRIDE, row))
-
-    def halves(self, b: np.ndarray, rec: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Max-pooled filters of every half chunk, and the half chunks' documents."""
-        a = self.windows(b, rec, None, int(off[-1])) @ self.p["w"] + self.p["b"]
-        np.maximum(a, 0, out=a)
-        a[off[1:] // STRIDE - 1] = 0  # a document's last window would reach into the next document
-        steps = np.diff(off) // STRIDE
-        n = -(-steps // HALF)
-        of = np.repeat(np.arange(len(steps)), n)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        return np.maximum.reduceat(a, (off[:-1] // STRIDE)[of] + k * HALF, axis=0), of
+    def pooled(self, b: np.ndarray, begin: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest value over each half chunk, and the byte where its window begins."""
+        top, spot = np.zeros((len(begin), FILTERS), np.float32), np.zeros((len(begin), FILTERS), np.int64)
+        reach = np.arange(HALF * STRIDE + WIDTH)
+        for i in range(0, len(begin), HELD):
+            part = begin[i : i + HELD]
+            x = self.p["e"][b[np.minimum(part[:, None] + reach, len(b) - 1)]]
+            one, step, value = x.strides
+            windows = np.lib.stride_tricks.as_strided(x, (len(part), HALF, WIDTH * EMBED), (one, step * STRIDE, value))
+            a = windows.reshape(-1, WIDTH * EMBED) @ self.p["w"] + self.p["b"]
+            a = np.maximum(a, 0, out=a).reshape(len(part), HALF, FILTERS)
+            a[np.arange(HALF) >= valid[i : i + HELD, None]] = 0
+            best = a.argmax(1)
+            top[i : i + HELD] = np.take_along_axis(a, best[:, None], 1)[:, 0]
+            spot[i : i + HELD] = part[:, None] + best * STRIDE
+        return top, spot
+
+    @staticmethod
+    def chunked(doc: np.ndarray, top: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, pooled values and spots of chunks: two neighbouring halves, or a document's only one."""
+        pair = np.append(doc[1:] == doc[:-1], False)
+        use = pair | np.append(True, doc[1:] != doc[:-1])
+        later = pair[:, None] & (np.roll(top, -1, 0) > top)
+        return doc[use], np.where(later, np.roll(top, -1, 0), top)[use], np.where(later, np.roll(spot, -1, 0), spot)[use]
 
     def score(self, texts: list[str | None]) -> list[float]:
-        if not self.trained:
+        if not self.trained or not texts:
             return [0.5] * len(texts)
-        out: list[float] = []
-        size, group = 0, []
-        for t in [*texts, None]:
-            if group and (size >= BLOCK or len(out) + len(group) == len(texts)):
-                h, of = self.halves(*layout(group))
-                pair = np.append(of[1:] == of[:-1], False)
-                chunk = np.where(pair[:, None], np.maximum(h, np.roll(h, -1, 0)), h)
-                alone = np.append(True, of[1:] != of[:-1])  # a document's last half is no chunk unless it is the only one
-                use = pair | alone
-                n = np.bincount(of[use], minlength=len(group))
-                logit = np.bincount(of[use], (chunk[use] @ self.p["v"]).astype(float), len(group)) / n + float(self.p["c"][0])
-                out += (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).tolist()
-                size, group = 0, []
-            group.append(t)
-            size += len(t or "")
-        return out
+        b, off = layout(texts)
+        doc, begin, valid = _halves(off)
+        of, chunk, _ = self.chunked(doc, *self.pooled(b, begin, valid))
+        n = np.bincount(of, minlength=len(texts))
+        logit = np.bincount(of, (chunk @ self.p["v"]).astype(float), len(texts)) / n + float(self.p["c"][0])
+        return (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).tolist()
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = 25, rate: float = 0.01, seed: int = 11) -> None:
         y = np.array(labels, np.float32)
         if len(set(labels)) < 2:
             return
         self.trained = True
-        b, rec, off = joined(texts)
-        steps = np.diff(off) // STRIDE
-        n = -(-steps // HALF)
-        first = np.append(0, np.cumsum(n))
-        doc = np.repeat(np.arange(len(texts)), n)
-        k = np.arange(len(doc)) - first[doc]
-        begin = off[doc] + k * HALF * STRIDE
-        valid = steps[doc] - 1 - k * HALF  # a document's last window would reach into the next document
+        b, off = layout(texts)
+        doc, begin, valid = _halves(off)
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         r = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
@@ -145,24 +113,8 @@ class Network:
             for i in range(0, len(order), 64):
                 docs = np.sort(order[i : i + 64])
                 rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-                top, spot = np.empty((len(rows), FILTERS), np.float32), np.empty((len(rows), FILTERS), np.int64)
-                for j in range(0, len(rows), HELD):
-                    part = rows[j : j + HELD]
-                    at = np.minimum(begin[part, None] + np.arange(HALF) * STRIDE, len(b) - WIDTH)
-                    a = (self.windows(b, rec, at.ravel(), 0) @ self.p["w"] + self.p["b"]).reshape(len(part), HALF, FILTERS)
-                    np.maximum(a, 0, out=a)
-                    a[np.arange(HALF) >= valid[part, None]] = 0
-                    best = a.argmax(1)
-                    top[j : j + HELD] = np.take_along_axis(a, best[:, None], 1)[:, 0]
-                    spot[j : j + HELD] = begin[part, None] + best * STRIDE
-                # as in scoring, two halves make a chunk, and a single half is one only if it is all there is
-                pair = np.append(doc[rows][1:] == doc[rows][:-1], False)
-                use = pair | np.append(True, doc[rows][1:] != doc[rows][:-1])
-                later = pair[:, None] & (np.roll(top, -1, 0) > top)
-                spot = np.where(later, np.roll(spot, -1, 0), spot)[use]
-                pooled = np.where(later, np.roll(top, -1, 0), top)[use]
-                rows = rows[use]
-                local = np.searchsorted(docs, doc[rows])
+                of, pooled, spot = self.chunked(doc[rows], *self.pooled(b, begin[rows], valid[rows]))
+                local = np.searchsorted(docs, of)
                 n = np.bincount(local, minlength=len(docs)).astype(np.float32)
                 mean = np.zeros((len(docs), FILTERS), np.float32)
                 np.add.at(mean, local, pooled)
@@ -174,11 +126,15 @@ class Network:
                 g["b"] = da.sum(0)
                 g["w"], g["e"] = 1e-4 * self.p["w"], np.zeros_like(self.p["e"])
                 for f in range(FILTERS):
-                    for j in range(0, len(rows), HELD):
-                        held, d = spot[j : j + HELD, f], da[j : j + HELD, f]
-                        g["w"][:, f] += self.windows(b, rec, held, 0).T @ d
-                        back = d[:, None, None] * self.p["w"][:, f].reshape(WIDTH, EMBED + 1)[None, :, :EMBED]
-                        np.add.at(g["e"], b[held[:, None] + np.arange(WIDTH)], back)
+                    live = np.flatnonzero(da[:, f])
+                    back = self.p["w"][:, f].reshape(WIDTH, EMBED)
+                    for j in range(0, len(live), HELD):
+                        part = live[j : j + HELD]
+                        seen, d = b[spot[part, f][:, None] + np.arange(WIDTH)], da[part, f]
+                        g["w"][:, f] += self.p["e"][seen].reshape(len(part), -1).T @ d
+                        much = np.zeros((256, WIDTH), np.float32)  # of each byte at each place of the filter
+                        np.add.at(much, (seen, np.arange(WIDTH)), d[:, None])
+                        g["e"] += much @ back
                 t += 1
                 step = rate * min(1, 2 * (1 - epoch / epochs))
                 for k in self.p:
