@@ -7,12 +7,17 @@ words, how much of it dictionary words cover, its character mix and entropy, wha
 whether it lies in a path or an address, and which words stand beside it.  A forest of numpy decision
 trees keeps or drops it.
 
-The forest learns from labelled findings: rows of (before, candidate, after, label).  A user's own
-can be given, of which about ``most`` are drawn by hash; without them 4,000 findings are generated
-from a seed, real formats against placeholders, digests, identifiers, paths and plain words.
+Dictionary and letter pairs come from the corpus itself: words are counted over all documents, the
+``most_words`` most frequent ones are the dictionary (together with some words of code and placeholders),
+and pairs of letters are counted in all words.
 
-Null and empty texts have no candidates; repeated rows give repeated results; a null id stays null;
-other columns are not read.  Offsets are code points, ends exclusive.
+The forest learns from a table of labelled findings: rows of before, candidate, after and label.  A user's
+own can be given, of which about ``most`` are drawn by hash; without them :func:`findings` makes 4,000 from a
+seed and the corpus's words, real formats against placeholders, digests, identifiers, paths and plain words.
+
+Null and empty texts have no candidates; texts of any length are searched whole; repeated rows give repeated
+results; a null id stays null; an empty table gives an empty result; other columns are not read, and kept by
+:func:`redacted`.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -20,17 +25,16 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lsnframe.llm.batches import mapped, pieces, small_batches
+from lsnframe.llm.components import cut
 
 # Prefixes and lengths that issuers publish (fixed values).
 _ISSUED = re.compile(
@@ -49,23 +53,57 @@ KINDS = ("issued", "block", "jwt", "assigned", "long")
 _GOOD = re.compile(r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access|private|credential|auth|bearer|login", re.I)
 _BAD = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|commit|sha-?(?:1|256)|md5|digest|checksum|hash|uuid|guid|revision|version|etag|integrity|license|null|none|undefined", re.I)
 _PATH = re.compile(r"[/\\][\w.-]+[/\\]|https?:|www\.|\.(?:py|js|java|md|txt|json|html?|png|jpg|so|dll)$")
-#: Words for dictionary coverage and for letter pairs: common in prose, code and placeholders (fixed values).
+#: Words of code and placeholders that a corpus of prose may lack (fixed values).
 _WORDS = """
-the and that have for not with you this but his from they say her she will one all would there their what out about who get which
-when make can like time just him know take people into year your good some could them see other than then now look only come its over
-think also back after use two how our work first well way even new want because any these give day most password secret token key value
-change example sample test user admin name default config setting server client data file path class function return string number public
-private import export module version build release update delete create insert select table index column database connection request
-response header content message error warning debug info level service account access login here placeholder dummy insert replace
+password secret token key value change changeme example sample test user admin name default config setting server client data file path class
+function return string number public private import export module version build release update delete create insert select table index
+column database connection request response header content message error warning debug info level service account access login here your
+placeholder dummy replace undefined null none true false
 """.split()  # noqa: SIM905
-_LONG_WORDS = sorted({w for w in _WORDS if len(w) > 3})
 
 
-@lru_cache(1)
-def _pairs() -> dict[str, float]:
-    seen = Counter(w[i : i + 2] for w in _WORDS for i in range(len(w) - 1))
-    total = sum(seen.values())
-    return {p: math.log((n + 0.1) / (total + 67.6)) for p, n in seen.items()}
+class Lexicon:
+    """Dictionary words, and how likely letter pairs are in words."""
+
+    def __init__(self, words: list[str], pairs: dict[str, int]) -> None:
+        self.words = sorted({*words, *_WORDS})
+        self.long = frozenset(w for w in self.words if len(w) > 3)
+        self.longest = max(map(len, self.long))
+        for w in _WORDS:
+            for i in range(len(w) - 1):
+                pairs[w[i : i + 2]] = pairs.get(w[i : i + 2], 0) + 1
+        total = sum(pairs.values())
+        #: logarithms by the two codes below 128
+        self.likely = np.full(128 * 128, -9.0)
+        for p, n in pairs.items():
+            if p.isascii():
+                self.likely[ord(p[0]) * 128 + ord(p[1])] = max(-9.0, math.log((n + 0.1) / (total + 67.6)))
+
+    def covered(self, low: str) -> int:
+        """Characters that dictionary words of four letters and more cover, overlapping ones once."""
+        edge = np.zeros(len(low) + 1, np.int64)
+        for m in _LETTERS.finditer(low):
+            run = m[0]
+            for i in range(len(run) - 3):
+                for n in range(min(self.longest, len(run) - i), 3, -1):
+                    if run[i : i + n] in self.long:
+                        edge[m.start() + i] += 1
+                        edge[m.start() + i + n] -= 1
+                        break
+        return int(np.count_nonzero(np.cumsum(edge)))
+
+
+_LETTERS = re.compile(r"[^\W\d_]{4,}")
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", most_words: int = 20_000) -> Lexicon:
+    """The lexicon of all words of all texts.  A word has 2 to 24 letters, and no digit stands beside it."""
+    each = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+")).alias("word"))
+    counted = cut(each.where(F.length("word").between(2, 24) & ~F.col("word").rlike(r"\p{N}")).groupBy("word").agg(F.count("*").alias("n")))
+    top = counted.orderBy(F.desc("n"), "word").limit(most_words).collect()
+    letters = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))
+    pairs = counted.select(F.explode(letters).alias("pair"), "n").where("pair RLIKE '^[a-z][a-z]$'").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Lexicon([r.word for r in top], {r.pair: r["n"] for r in pairs.collect()})  # 676 pairs at most
 
 
 def _blocks(text: str) -> list[tuple[str, int, int]]:
@@ -156,28 +194,7 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-@lru_cache(1)
-def _pair_table() -> np.ndarray:
-    """Logarithms of letter pairs by their two codes below 128."""
-    table = np.full(128 * 128, -9.0)
-    for p, v in _pairs().items():
-        table[ord(p[0]) * 128 + ord(p[1])] = v
-    return table
-
-
-def _covered(low: str) -> int:
-    """Characters that dictionary words cover, overlapping ones once."""
-    edge = np.zeros(len(low) + 1, np.int64)
-    for w in _LONG_WORDS:
-        at = low.find(w)
-        while at >= 0:
-            edge[at] += 1
-            edge[at + len(w)] -= 1
-            at = low.find(w, at + 1)
-    return int(np.count_nonzero(np.cumsum(edge)))
-
-
-def features(kind: str, before: str, s: str, after: str) -> list[float]:
+def features(kind: str, before: str, s: str, after: str, lex: Lexicon) -> list[float]:
     """All of them over the whole candidate."""
     if not _class_of:
         _class_of.append(_class_table())
@@ -192,14 +209,14 @@ def features(kind: str, before: str, s: str, after: str) -> list[float]:
     p, q = small[:-1][both], small[1:][both]
     known = (p < 128) & (q < 128)
     letters = len(p)
-    likely = float((_pair_table()[p[known] * 128 + q[known]].sum() - 9.0 * (letters - int(known.sum()))) / letters) if letters else -9.0
+    likely = float((lex.likely[p[known] * 128 + q[known]].sum() - 9.0 * (letters - int(known.sum()))) / letters) if letters else -9.0
     n = np.bincount(c, minlength=4).tolist()
     seen = np.unique(code, return_counts=True)[1]
     share = seen / max(1, m)
     entropy = float(-(share * np.log2(share)).sum()) if m else 0.0
     hexed = not low.strip("0123456789abcdef")
     return [
-        math.log1p(m), int(np.count_nonzero(c[1:] != c[:-1])) / max(1, m - 1), likely, _covered(low) / max(1, m), n[2] / max(1, m), n[1] / max(1, m), n[3] / max(1, m), entropy,
+        math.log1p(m), int(np.count_nonzero(c[1:] != c[:-1])) / max(1, m - 1), likely, lex.covered(low) / max(1, m), n[2] / max(1, m), n[1] / max(1, m), n[3] / max(1, m), entropy,
         float(hexed), len(seen) / max(1, m), float(KINDS.index(kind)), float(bool(_PATH.search(before[-12:] + s))), float(bool(_GOOD.search(before[-32:]))), float(bool(_BAD.search(before[-32:] + " " + s + " " + after[:16]))),
     ]
 
@@ -248,9 +265,9 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 9, seed: int = 3) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, lex: Lexicon, trees: int = 30, depth: int = 9, seed: int = 3) -> None:
         r = np.random.default_rng(seed)
-        self.trees = []
+        self.lex, self.trees = lex, []
         for _ in range(trees):
             rows = r.integers(0, len(y), len(y))
             self.trees.append(Tree(x[rows], y[rows].astype(float), depth, r))
@@ -259,12 +276,13 @@ class Forest:
         return np.mean([t.predict(x) for t in self.trees], axis=0)
 
 
-def generated(n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (before, candidate, after, 1 for a secret) made from a seed."""
+def generated(lex: Lexicon, n: int = 4000, seed: int = 17) -> list[tuple[str, str, str, int]]:
+    """Labelled findings (before, candidate, after, 1 for a secret) made from a seed and the words of a lexicon."""
     r = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     many = lambda a, k: "".join(r.choice(a) for _ in range(k))
-    word = lambda: r.choice(_WORDS)
+    words = [w for w in lex.words if w.isascii()]
+    word = lambda: r.choice(words)
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 4))) + " "
     given = lambda: r.choice(["password=", "token = \"", "secret: ", "api_key=", "PASSWORD=", "access_key = '", "auth_token: ", "pwd=", "client_secret=", "db_password: "])
     out = []
@@ -324,28 +342,35 @@ def _kind_of(before: str, s: str) -> str:
     return "assigned" if (m := re.search("[=:][ \t\"']{0,4}$", before)) and _NAME.search(before, max(0, m.start() - 32), m.start()) else "long"
 
 
-def train(findings: list[tuple[str, str, str, int]]) -> Forest:
-    x = np.array([features(_kind_of(b, s), b, s, a) for b, s, a, _ in findings])
-    return Forest(x, np.array([int(y) for *_, y in findings]))
+def train(rows: list[tuple[str, str, str, int]], lex: Lexicon) -> Forest:
+    x = np.array([features(_kind_of(b, s), b, s, a, lex) for b, s, a, _ in rows])
+    return Forest(x, np.array([int(y) for *_, y in rows]), lex)
 
 
-@lru_cache(1)
-def default_forest() -> Forest:
-    return train(generated())
+def findings(spark: SparkSession, lex: Lexicon, n: int = 4000, seed: int = 17) -> DataFrame:
+    """A table of made-up labelled findings."""
+    return spark.createDataFrame(generated(lex, n, seed), "before string, candidate string, after string, label int")
 
 
-def learn(findings: DataFrame, most: int = 20_000) -> Forest:
-    """A forest from the columns before, candidate, after and label (0 or 1) of labelled findings."""
-    rows = findings.where("candidate IS NOT NULL AND label IN (0, 1)").select(F.coalesce("before", F.lit("")).alias("b"), "candidate", F.coalesce("after", F.lit("")).alias("a"), "label")
+def learn(labelled: DataFrame, lex: Lexicon, most: int = 20_000) -> Forest:
+    """A forest from the columns before, candidate, after and label (0 or 1) of labelled findings; from
+    made-up ones if there are none."""
+    rows = labelled.where("candidate IS NOT NULL AND label IN (0, 1)").select(F.coalesce("before", F.lit("")).alias("b"), "candidate", F.coalesce("after", F.lit("")).alias("a"), "label")
     n = rows.count()
     drawn = rows.where(F.pmod(F.xxhash64("b", "candidate", "a"), F.lit(1_000_000)) < 1_000_000 * min(1.0, most / max(1, n))).orderBy("candidate", "b", "a", "label").collect()
-    return train([tuple(r) for r in drawn]) if drawn else default_forest()
+    return train([tuple(r) for r in drawn] or generated(lex), lex)
+
+
+def fitted(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text") -> Forest:
+    """The forest for a corpus: its lexicon, and labelled findings or made-up ones."""
+    lex = lexicon(docs, text_col)
+    return learn(findings(docs.sparkSession, lex) if labelled is None else labelled, lex)
 
 
 def find(texts: list[str | None], forest: Forest, threshold: float = 0.5) -> list[tuple[int, list[tuple[str, int, int]]]]:
     """For each text the number of candidates and those that the forest keeps."""
     found = [candidates(t) if t else [] for t in texts]
-    x = [features(k, t[max(0, a - 40) : a], t[a:b], t[b : b + 20]) for t, c in zip(texts, found, strict=True) for k, a, b in c]
+    x = [features(k, t[max(0, a - 40) : a], t[a:b], t[b : b + 20], forest.lex) for t, c in zip(texts, found, strict=True) for k, a, b in c]
     keep = iter((forest.predict(np.array(x)) >= threshold).tolist() if x else [])
     return [(len(c), [y for y in c if next(keep)]) for c in found]
 
@@ -360,7 +385,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_candidates, n_secrets, secrets (kind:start:end) and the redacted text's SHA-256."""
-    forest = forest or default_forest()
+    forest = forest or fitted(docs, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +403,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
 
 def redacted(docs: DataFrame, forest: Forest | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns with the secrets in the texts replaced, and the length column brought up to date."""
-    forest = forest or default_forest()
+    forest = forest or fitted(docs, text_col=text_col)
 
     small_batches(docs.sparkSession)
 
