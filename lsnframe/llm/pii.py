@@ -3,15 +3,15 @@
 Four base kinds are fixed patterns whose matches always stand: email, ip, card, phone.  Further
 candidates (national phone numbers, social-security numbers, IBANs, 13 to 15 digit cards, IPv6 and
 MAC addresses, disguised emails) are put to labelers that vote yes, no or nothing: a strict pattern,
-a checksum, a gazetteer of prefixes, words before the span, words that speak against it, and its
-borders.  The votes of all candidates of all documents, base matches included, are counted by
+a checksum, a gazetteer of published prefixes and lengths, words before the span, words that speak against
+it, and its borders.  The votes of all candidates of all documents, base matches included, are counted by
 signature; expectation-maximisation over these counts estimates each labeler's reliability, its
-posteriors train a logistic span classifier, and candidates that it accepts are added.
+posteriors train a logistic span classifier, and it alone decides which candidates are added.
 
 The signatures are at most a few ten thousand whatever the corpus, so their counts go to the driver.
 
-Null and empty texts have no spans.  Repeated rows give repeated results; a null id stays null; other
-columns are not read.  Offsets are code points, ends exclusive.  Every pattern takes time in
+Null and empty texts have no spans, an empty table gives an empty result.  Repeated rows give repeated
+results; a null id stays null; other columns are not read.  Texts of any length are searched whole.  Offsets are code points, ends exclusive.  Every pattern takes time in
 proportion to the text.
 """
 
@@ -53,13 +53,39 @@ _MORE = {
 _FOR = re.compile(r"(?:e-?mails?|mail|contact|write|reach|phones?|tel(?:efon|ephone|éfono)?|call|mobile|fax|cards?|visa|amex|iban|konto|account|compte|cuenta|ssn|social|security|ip|host|server|mac|address|adresse)\W{0,4}$", re.I)
 _AGAINST = re.compile(r"(?:isbn|issn|doi|version|ver|v|order|invoice|page|line|section|rfc|build|sku|part|no|nr|id|figure|table)\W{0,4}$", re.I)
 _DIGITS = re.compile("[0-9]")
-#: Prefixes that issuers, countries and registries give out (fixed values).
-_GAZETTEER = {
-    "email": (".com", ".org", ".net", ".edu", ".gov", ".io", ".de", ".fr", ".es", ".uk", ".eu", ".info"), "email_disguised": ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info"),
-    "ip": ("10.", "127.", "172.", "192.168.", "8.8."), "card": ("4", "51", "52", "53", "54", "55", "2", "6011", "65"), "card_short": ("34", "37", "36", "38", "30", "4"),
-    "phone": ("+1", "+33", "+34", "+39", "+41", "+43", "+44", "+49", "+52", "+61", "+81", "+86", "+91"), "iban": ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"),
-    "ipv6": ("2001", "2a", "fe80", "fd"), "mac": ("00:", "08:", "3c:", "ac:"), "phone_national": (), "ssn": (),
-}
+# Published prefixes and lengths (fixed values).
+_DOMAINS = frozenset("com org net edu gov mil int info biz name pro museum coop aero jobs mobi travel tel cat asia post app dev io ai".split())  # besides two letters: countries
+_CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+#: First digits of the zones whose country codes have three.
+_CALLING_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: First and last prefix of card issuers.
+_CARDS = [(4, 4), (51, 55), (2221, 2720), (34, 34), (37, 37), (36, 36), (38, 39), (300, 305), (3528, 3589), (6011, 6011), (644, 649), (65, 65), (62, 62), (50, 50), (56, 58), (60, 60), (63, 63), (67, 69)]
+#: Lengths of account numbers by country.
+_IBAN = dict(
+    x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VG:24 XK:20".split()
+)
+
+
+def _listed(kind: str, span: str, digits: str) -> int:
+    """The gazetteer's vote: 1 for a prefix that is given out, -1 for one that isn't, 0 where prefixes say nothing."""
+    if kind in ("email", "email_disguised"):
+        top = re.split(r"[^A-Za-z0-9-]+", span.rstrip("])"))[-1].lower()
+        return 1 if top in _DOMAINS or (len(top) == 2 and top.isalpha()) else -1
+    if kind == "phone":
+        return 1 if digits[:1] in ("1", "7") or digits[:2] in _CALLING or digits[:2] in _CALLING_3 else -1
+    if kind in ("card", "card_short"):
+        return 1 if any(lo <= int(digits[: len(str(lo))] or 0) <= hi for lo, hi in _CARDS) else -1
+    if kind == "iban":
+        return 1 if _IBAN.get(span[:2]) == str(len(span.replace(" ", ""))) else -1
+    if kind == "ip":
+        return -1 if digits and int(span.split(".")[0]) in (0, *range(224, 256)) else 1
+    if kind == "ssn":
+        return -1 if digits[:3] in ("000", "666") or digits[0] == "9" else 0
+    if kind == "mac":
+        return -1 if int(span[1], 16) & 1 else 0  # a group address belongs to nobody
+    return 0
 
 
 def luhn(digits: str) -> bool:
@@ -141,9 +167,7 @@ def _votes(kind: str, text: str, a: int, b: int, passed: bool | None) -> tuple[i
         check = 1 if int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 else -1
     elif digits and len(set(digits)) == 1:
         check = -1
-    low = span.lower()
-    known = _GAZETTEER[kind]
-    listed = 0 if not known else 1 if (any(low.endswith(x) for x in known) if kind.startswith("email") else any(low.startswith(x.lower()) for x in known)) else -1 if kind == "iban" else 0
+    listed = _listed(kind, span, digits)
     border = -1 if (before[-1:].isalnum() or before[-1:] in "-/_" and before or after.isalnum() or after in ("-", "/", "_")) else 1
     return (1 if strict else -1, check, listed, 1 if _FOR.search(before) else 0, -1 if _AGAINST.search(before) else 0, border)
 
@@ -210,8 +234,7 @@ class SpanModel:
         if sig not in self.accepted:
             ok = False
             if self.weights is not None:
-                _, votes, x = _unpack(np.array([sig], np.int64))
-                ok = bool(x[0] @ self.weights > 0) and votes[0].sum() > 0
+                ok = bool(_unpack(np.array([sig], np.int64))[2][0] @ self.weights > 0)
             self.accepted[sig] = ok
         return self.accepted[sig]
 

@@ -133,6 +133,58 @@ def test_pii_reliabilities_favour_good_labelers():
     assert m.reliability[1, 2, 0] > m.reliability[1, 2, 1]  # a passed checksum speaks for personal data
 
 
+def personal_texts(seed, n):
+    """Texts with personal data of the further kinds, decoys of the same shapes, and the places of the former."""
+    r = random.Random(seed)
+    d, h = (lambda k, a=a: "".join(r.choices(a, k=k)) for a in ("0123456789", "0123456789abcdef"))
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8)))
+
+    def iban():
+        country, body = r.choice([("DE", d(18)), ("FR", d(23)), ("ES", d(20)), ("NL", "ABNA" + d(10))])
+        s = country + f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}" + body
+        return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s
+
+    def amex():
+        body = r.choice(["34", "37"]) + d(12)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    good = {
+        "phone_national": ("call ", lambda: f"{r.choice('23456789')}{d(2)}-{r.choice('23456789')}{d(2)}-{d(4)}"), "ssn": ("social security ", lambda: f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "iban": ("iban ", iban), "card_short": ("card ", amex), "ipv6": ("host ", lambda: ":".join(h(4) for _ in range(8))),
+        "mac": ("mac ", lambda: ":".join([r.choice("0123456789abcdef") + r.choice("02468ace"), *(h(2) for _ in range(5))])), "email_disguised": ("mail ", lambda: f"{word()} [at] {word()} [dot] com"),
+    }
+    bad = [lambda: f"order {r.choice('23456789')}{d(2)}-{r.choice('01')}{d(2)}-{d(4)}", lambda: f"part 000-{d(2)}-{d(4)}", lambda: "id " + r.choice(["DE", "XX"]) + d(r.choice([14, 18])), lambda: "isbn " + d(13)]
+    texts, wanted = [], []
+    for _ in range(n):
+        t, spans = "", set()
+        for _ in range(3):
+            kind = r.choice(list(good))
+            cue, make = good[kind]
+            t += f"{word()} {word()} " + cue * (r.random() < 0.7)
+            s = make()
+            spans.add((kind, len(t), len(t) + len(s)))
+            t += f"{s} {word()} {r.choice(bad)()} {word()}@{word()}.com 10.{r.randint(0, 255)}.3.{r.randint(1, 255)} "
+        texts.append(t)
+        wanted.append(spans)
+    return texts, wanted
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_precision_and_recall_of_added_spans(spark, seed):
+    texts, _ = personal_texts(seed, 400)
+    model = pii.SpanModel({r.signature: r.n for r in pii.signatures(frame(spark, texts)).collect()})
+    texts, wanted = personal_texts(seed + 100, 400)
+    got = [set(pii.find(t, model)[1]) for t in texts]
+    right = sum(len(g & w) for g, w in zip(got, wanted, strict=True))
+    assert right / sum(map(len, got)) > 0.98 and right / sum(map(len, wanted)) > 0.98
+
+
+def test_pii_of_a_very_long_text(spark):
+    text = "call (415) 555-2671 now, mail a@b.org " * 30_000
+    row = pii.scan(frame(spark, [text, *personal_texts(1, 200)[0]])).where("doc_id = 0").first()
+    assert (row.n_email, row.n_added) == (30_000, 30_000)
+
+
 LANGS = {"en": "the quick brown fox and the lazy dog with that thing", "de": "der schnelle braune fuchs und die faule katze mit dem", "fr": "le renard brun rapide et les chiens que nous avons été"}
 
 
