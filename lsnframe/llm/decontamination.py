@@ -27,6 +27,8 @@ from lsnframe.llm.components import cut, unused
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of benchmark windows, and of their block hashes, that are broadcast at once.
 MOST_BYTES = 64 << 20
+#: Hashes of so many contaminated texts (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_GONE = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -138,6 +140,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     parts, lengths = _parts(windows, most_bytes)
     if not parts:
         return docs
-    gone = reduce(DataFrame.unionAll, [_looked_at(base, p, lengths).where("s IS NOT NULL").select("_one", "_two") for p in parts]).distinct()
+    gone = cut(reduce(DataFrame.unionAll, [_looked_at(base, p, lengths).where("s IS NOT NULL").select("_one", "_two") for p in parts]).distinct())
+    if gone.count() <= MOST_GONE:
+        gone = F.broadcast(gone)
     a, b = unused(docs, "one"), unused(docs, "two")
-    return docs.join(gone.toDF(a, b), (one == F.col(a)) & (two == F.col(b)), "left_anti")
+    gone = gone.select(F.col("_one").alias(a), F.col("_two").alias(b))
+    return docs.join(gone, (one == F.col(a)) & (two == F.col(b)), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lsnframe.llm.batches import mapped, pieces
-from lsnframe.llm.components import components, cut
+from lsnframe.llm.components import components, cut, split_hubs
 from lsnframe.llm.hashing import mix
 
 BASE, RATE, LAST = 1.02, 20.0, 65534
@@ -39,7 +39,7 @@ REGISTERS = BANDS * ROWS
 _ODD = (mix(np.arange(1, REGISTERS + 2, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _PLACE = (mix(np.arange(9001, 9065, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 #: Keys with more documents than this are compared in blocks of this many.
-BLOCK = 1500
+BLOCK = 1000
 #: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -172,8 +172,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * n >= percent * (len(p) + len(q) - n))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
-    return mapped(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy"), check, "x long, y long")
+    # a document that many others are held against is dealt into parts
+    hubs = F.broadcast(split_hubs(pairs.groupBy("y").agg(F.count("*").alias("n")), "y", pairs.count()))
+    part = F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int")
+    first = pairs.join(hubs, "y", "left").select("x", "y", part.alias("part")).join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    second = sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")).join(hubs, "y", "left").select("y", "sy", parts.alias("part"))
+    return mapped(first.join(second, ["y", "part"]).select("x", "y", "sx", "sy"), check, "x long, y long")
 
 
 def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,11 +25,14 @@ def prose(r, n, size=400):
     return " ".join(f"w{r.randint(0, size)}" for _ in range(n))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+@pytest.mark.parametrize("local", [200_000, 40])
+def test_components(spark, local):
+    """In one partition, and in several with stars; with a hub of more rows than a task takes."""
+    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3)] + [(1000, k) for k in range(1001, 1700)] + [(5000 - i, 4999 - i) for i in range(200)]
+    random.Random(1).shuffle(edges)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), local=local).collect()}
+    assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)} | {i: 1000 for i in range(1000, 1700)} | {i: 4800 for i in range(4800, 5001)}
+    assert components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
 
 
 # substrings
