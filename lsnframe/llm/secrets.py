@@ -97,13 +97,23 @@ _LETTERS = re.compile(r"[^\W\d_]{4,}")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", most_words: int = 20_000) -> Lexicon:
-    """The lexicon of all words of all texts.  A word has 2 to 24 letters, and no digit stands beside it."""
+    """The lexicon of all words of all texts.  A word has 2 to 24 letters, and no digit stands beside it.
+
+    Words are put into classes by how often they occur; the dictionary has the classes of the most frequent
+    ones that have ``most_words`` words at most together, so no more are sent to the driver."""
     each = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+")).alias("word"))
-    counted = cut(each.where(F.length("word").between(2, 24) & ~F.col("word").rlike(r"\p{N}")).groupBy("word").agg(F.count("*").alias("n")))
-    top = counted.orderBy(F.desc("n"), "word").limit(most_words).collect()
+    counted = each.where(F.length("word").between(2, 24) & ~F.col("word").rlike(r"\p{N}")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = cut(counted.withColumn("class", F.floor(F.log2("n") * 8).cast("int")))
+    least, held = None, 0
+    for r in sorted(counted.groupBy("class").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["class"]):  # 504 classes at most
+        held += r.words
+        if held > most_words:
+            break
+        least = r["class"]
+    top = [] if least is None else [r.word for r in counted.where(F.col("class") >= least).select("word").collect()]
     letters = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))
     pairs = counted.select(F.explode(letters).alias("pair"), "n").where("pair RLIKE '^[a-z][a-z]$'").groupBy("pair").agg(F.sum("n").alias("n"))
-    return Lexicon([r.word for r in top], {r.pair: r["n"] for r in pairs.collect()})  # 676 pairs at most
+    return Lexicon(top, {r.pair: r["n"] for r in pairs.collect()})  # 676 pairs at most
 
 
 def _blocks(text: str) -> list[tuple[str, int, int]]:
