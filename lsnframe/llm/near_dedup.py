@@ -10,13 +10,16 @@ confirmed on the full sets.
 
 A key with many documents never yields all its pairs.  First every document is held against the
 likeliest of its keys' smallest documents.  Then keys whose documents still lie in several components are looked
-at again, in blocks and with every document's shingles in 32 bits, for links that join components;
-this is repeated, without pairs that failed on the full sets, until no key has such a link.
+at again, in blocks and with every document's shingles in 32 bits, for links that join components: the
+documents of a key's largest component only against all others.  This is repeated, without pairs that failed
+on the full sets, until no key has such a link.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability 3e-6.
 
 Null and empty texts have empty sets and link with nothing.  Rows with a null id take no part (their
-component is null, they are kept).  Repeated rows get one component.  Other columns are not read.
+component is null, they are kept).  Repeated rows get one component; an empty table gives an empty result.
+Texts of any length are read whole.  Ids are numbers or text of numbers (they are cast to long).  Other columns
+are not read, and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 _ODD = (mix(np.arange(1, REGISTERS + 2, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _PLACE = (mix(np.arange(9001, 9065, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
-#: Keys with more documents than this are compared in blocks of this many.
+#: Documents of a key are compared in blocks of this many.
 BLOCK = 1000
 #: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -182,10 +185,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents with their components, and the keys that still hold several of these."""
+    """The keyed documents with their components, and the keys that still hold several of these: the largest
+    component (main), and into how many blocks its documents and all others are dealt."""
     named = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    still = named.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return named, still.select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = named.groupBy("key", "band", "component").agg(F.count("*").alias("size"))
+    still = sizes.groupBy("key", "band").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return named, still.select("key", "band", F.col("top.component").alias("main"), blocks(F.col("top.size")).alias("majors"), blocks(F.col("n") - F.col("top.size")).alias("minors"))
 
 
 def _short(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -255,7 +261,11 @@ def _across(named: DataFrame, still: DataFrame, unique: DataFrame, short: DataFr
     else:
         both = failed.unionAll(failed.select("y", "x")).groupBy(F.col("x").alias("rep")).agg(F.collect_set("y").alias("failed"))
         rows = rows.join(both, "rep", "left")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # documents of the main component are never held against each other, so each is dealt once for every
+    # block of the others, and the others for every block
+    major, every = F.col("component") == F.col("main"), F.col("majors") + F.col("minors")
+    own = F.when(major, F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(F.col("majors") + F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(major, F.col("majors")).otherwise(0), every - 1)))
     rows = rows.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "n_shingles", "registers", "short", "failed")
     return rows.groupBy("key", "band", "lo", "hi").applyInArrow(lambda t: _forest(t, percent), "x long, y long")
 
