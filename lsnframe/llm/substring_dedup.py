@@ -8,12 +8,15 @@ them together and decides, word for word, which one starts first.
 Before anything is sent, each chunk of a task settles its own repeats: a window that also starts
 earlier in the same chunk is removed whatever else there is, and only the first one of each travels.
 So a passage in a third of all documents reaches its bucket once for every chunk, not for every
-document.  Of these super-k-mers the minimisers meet first; only those whose minimiser another one
-has too travel as packed strings, compressed together for each chunk and bucket.
+document.  Of these super-k-mers the minimisers meet first, each one once a chunk with its count; only
+super-k-mers whose minimiser another one has too travel as packed strings, compressed together for each
+chunk and bucket.  A minimiser with more than ``hot`` super-k-mers would fill its bucket: their windows
+travel on their own instead, by all of their words, and the first of each is found by an aggregate.
 
 A null or empty text has no words.  Rows with a null id keep all their words and count for nobody.
 Rows that share an id must be repeats of one row: a window never counts as earlier than itself, so
-each gets the same result.  Other columns of the input are not read.
+each gets the same result.  An empty table gives an empty result, texts of any length are read whole, and ids
+are numbers or text of numbers (they are cast to long).  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -125,8 +128,11 @@ def _unpack(blob: bytes, *kinds: type) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-#: Minimiser, document, first word and windows of a super-k-mer; ranges settled already have 0 windows.
-_SEEDS = (np.uint64, np.int64, np.int32, np.int32)
+#: Minimiser, document, first word, windows and count of a super-k-mer; with 0 windows it stands for the
+#: count ones of a chunk, which know already that they aren't alone.
+_SEEDS = (np.uint64, np.int64, np.int32, np.int32, np.int32)
+#: Document, first word, stop, minimiser, and whether it has one, of ranges that need no bucket.
+_OWN = (np.int64, np.int32, np.int32, np.int64, np.bool_)
 
 
 def _by_bucket(bucket: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,8 +147,9 @@ def _bucket_of(seeds: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(seeds) % np.uint64(buckets)).astype(np.int64)
 
 
-def _seeds(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets: int) -> Iterator[tuple[int, bytes, bytes | None]]:
-    """(bucket, packed super-k-mers without their words, packed ranges settled within the chunk)."""
+def _seeds(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets: int) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+    """(bucket, packed super-k-mers without their words, None), and (any bucket, None, packed ranges that
+    are settled within the chunk or wait for nobody to be found shared)."""
     words, lens = [], []
     for t in texts:
         w = words_of(t)
@@ -167,32 +174,36 @@ def _seeds(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets
     at, n = _runs(new)
     at, n = at[first[at]], n[first[at]]
     value = values[least[at]]
-    settled = None
-    if not first.all():
-        d, a, b = _marks(doc[~first], place[~first], window)
-        settled = _pack(d.astype(np.int64), a.astype(np.int32), b.astype(np.int32))
+    _, which, count = np.unique(value, return_inverse=True, return_counts=True)
+    twin = count[which] > 1
+    d, a, b = _marks(doc[~first], place[~first], window)
+    own = (np.append(d, doc[at[twin]]), np.append(a, place[at[twin]]), np.append(b, place[at[twin]] + n[twin]), np.append(np.zeros(len(d), np.int64), value[twin].view(np.int64)), np.arange(len(d) + twin.sum()) >= len(d))
+    if len(own[0]):
+        yield int(_bucket_of(np.array(doc_ids[:1], np.int64).view(np.uint64), buckets)[0]), None, _pack(*(x.astype(k) for x, k in zip(own, _OWN, strict=True)))
+    lead = np.zeros(len(value), bool)  # one of each minimiser stands for all of them
+    lead[np.unique(value, return_index=True)[1]] = True
+    value, at, n, twin, count = value[lead], at[lead], n[lead], twin[lead], count[which][lead]
+    rows = (value, doc[at], place[at], np.where(twin, 0, n), count)
     for bucket, k in _by_bucket(_bucket_of(value, buckets), value):
-        yield bucket, _pack(value[k], doc[at[k]], place[at[k]].astype(np.int32), n[k].astype(np.int32)), settled
-        settled = None
-    if settled:
-        yield 0, _pack(*(np.zeros(0, t) for t in _SEEDS)), settled
-
-
-def _shared(group: pa.Table) -> pa.Table:
-    """Of a bucket, the super-k-mers whose minimiser another one has too (seed), and ranges settled already (no seed)."""
-    parts = [_unpack(x, *_SEEDS)[0] for x in group.column("packed").to_pylist()]
-    value, doc, place, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    order = np.argsort(value, kind="stable")
-    v = value[order]
-    twin = np.zeros(len(v), bool)
-    twin[1:] = v[1:] == v[:-1]
-    twin[:-1] |= twin[1:]
-    k = order[twin]
-    out = {"doc_id": doc[k], "start": place[k], "stop": place[k] + n[k], "seed": value[k].view(np.int64)}
-    known = [_unpack(x, np.int64, np.int32, np.int32)[0] for x in group.column("settled").to_pylist() if x]
-    d, a, b = (np.concatenate([p[i] for p in known] + [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
-    seeds = pa.concat_arrays([pa.array(out["seed"], pa.int64()), pa.nulls(len(d), pa.int64())])
-    return pa.table({"doc_id": np.concatenate((out["doc_id"], d)), "start": np.concatenate((out["start"], a)).astype(np.int32), "stop": np.concatenate((out["stop"], b)).astype(np.int32), "seed": seeds})
+        yield bucket, _pack(*(x[k].astype(t) for x, t in zip(rows, _SEEDS, strict=True))), None
+
+
+def _shared(group: pa.Table, hot: int) -> pa.Table:
+    """Of a bucket, the super-k-mers whose minimiser another one has too (seed), ranges settled already (no
+    seed), and minimisers with more than ``hot`` super-k-mers (no document)."""
+    parts = [_unpack(x, *_SEEDS)[0] for x in group.column("packed").to_pylist() if x] or [[np.zeros(0, t) for t in _SEEDS]]
+    value, doc, place, n, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    values, which = np.unique(value, return_inverse=True)
+    total = np.bincount(which, count, len(values))
+    k = np.flatnonzero((total[which] > 1) & (n > 0))
+    much = values[total > hot].view(np.int64)
+    known = [_unpack(x, *_OWN)[0] for x in group.column("own").to_pylist() if x] or [[np.zeros(0, t) for t in _OWN]]
+    d, a, b, s, seeded = (np.concatenate([p[i] for p in known]) for i in range(5))
+    seeds = np.concatenate((value[k].view(np.int64), s, much))
+    none = np.concatenate((np.zeros(len(k), bool), ~seeded, np.zeros(len(much), bool)))
+    gone = np.arange(len(seeds)) >= len(seeds) - len(much)
+    column = lambda x, y, kind, mask: pa.array(np.concatenate((x, y, np.zeros(len(much), np.int64))).astype(kind), mask=mask)
+    return pa.table({"doc_id": column(doc[k], d, np.int64, gone), "start": column(place[k], a, np.int32, gone), "stop": column(place[k] + n[k], b, np.int32, gone), "seed": pa.array(seeds, mask=none)})
 
 
 def _settle(group: pa.Table, window: int) -> pa.Table:
@@ -210,7 +221,11 @@ def _settle(group: pa.Table, window: int) -> pa.Table:
     return pa.table({"doc_id": d.astype(np.int64), "start": a.astype(np.int32), "stop": b.astype(np.int32)})
 
 
-def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None) -> DataFrame:
+#: Minimisers of so many super-k-mers are hot, and so many hot ones (8 bytes each) are broadcast.
+HOT, MOST_HOT = 100_000, 1_000_000
+
+
+def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, start, stop: word ranges covered by windows whose words also start earlier.
 
     rows: doc_id long, never null, and text.  First only the minimisers of super-k-mers meet; then
@@ -221,7 +236,8 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
         for batch in batches:
             for a, b, texts in pieces(batch.column(1), CHUNK):
                 out = list(_seeds(batch.column(0).slice(a, b - a).to_pylist(), texts, window, seed, buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "packed", "settled"])
+                columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "own"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,21 +256,44 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
                 out = [(k, _pack(d[i], p[i], s[i], text=b" ".join([packed[j] for j in i.tolist()]))) for k, i in _by_bucket(_bucket_of(v.view(np.uint64), buckets), v)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "packed"])
 
-    sent = mapped(rows, send, "bucket int, packed binary, settled binary")
-    found = cut(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, start int, stop int, seed long"))
-    wanted = found.where("seed IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
-    # other names, so that the shuffle of the rows by id looks like the caller's and is done once
-    again = rows.select(F.col("doc_id").alias("d"), F.col("text").alias("t"))
-    travelling = mapped(again.join(wanted, F.col("d") == F.col("doc_id")).select("d", "t", "start", "stop", "seed"), strings, "bucket int, packed binary")
-    settled = travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int")
-    return settled.unionAll(found.where("seed IS NULL").select("doc_id", "start", "stop"))
-
-
-def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in pieces(batch.column(1), CHUNK // 16):
+                out = []
+                ids, *spans = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 2, 3))
+                for d, text, starts, stops in zip(ids, texts, *spans, strict=True):
+                    words = words_of(text)
+                    out += [(b" ".join(words[p : p + window]), d, p) for a, b in zip(starts, stops, strict=True) for p in range(a, b)]
+                columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "start"])
+
+    def with_texts(spans: DataFrame) -> DataFrame:
+        """Documents with a list of their spans; the rows get other names, so that their shuffle by id looks like
+        the caller's and is done once."""
+        each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
+        again = rows.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(each, F.col("d") == F.col("doc_id"))
+        return again.select("d", "t", "start", "stop", "seed")
+
+    sent = mapped(rows, send, "bucket int, packed binary, own binary")
+    found = cut(sent.groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "doc_id long, start int, stop int, seed long"))
+    spans, much = found.where("seed IS NOT NULL AND doc_id IS NOT NULL"), found.where("doc_id IS NULL").select("seed")
+    settled, few = found.where("seed IS NULL").select("doc_id", "start", "stop"), much.count()
+    if few:
+        much = F.broadcast(much) if few <= MOST_HOT else much
+        windows = mapped(with_texts(spans.join(much, "seed", "left_semi")), lone, "words binary, doc_id long, start int")
+        first = windows.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("words", "first")
+        later = windows.join(first, "words").where(F.struct("doc_id", "start") != F.col("first"))
+        settled = settled.unionAll(later.select("doc_id", "start", (F.col("start") + window).alias("stop")))
+        spans = spans.join(much, "seed", "left_anti")
+    travelling = mapped(with_texts(spans), strings, "bucket int, packed binary")
+    return travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int").unionAll(settled)
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and the kept words (text) if asked for."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = repeats(known, window, seed, buckets).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = repeats(known, window, seed, buckets, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     none = F.lit(None).cast("array<int>")
     rows = known.join(found, "doc_id", "left").unionAll(base.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text", none.alias("starts"), none.alias("stops")))
     kept_type = ", text string" if keep_text else ""

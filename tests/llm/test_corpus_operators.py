@@ -49,7 +49,9 @@ def brute_repeats(rows, window):
     return {i: (len(w), len(gone[i]), sha256(" ".join(x for p, x in enumerate(w) if p not in gone[i]).encode()).hexdigest()) for i, w in docs}
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("hot", [100_000, 2])
+def test_substring_dedup(spark, hot):
+    """With minimisers that share buckets, and with nearly all of them split into windows."""
     r = random.Random(1)
     passage = prose(r, 55)
     rows = [(i, prose(r, r.randint(0, 80)) + (" " + passage + "\t" if i % 3 == 0 else "") + prose(r, 20)) for i in range(60)]
@@ -58,11 +60,17 @@ def test_substring_dedup(spark):
     r.shuffle(rows)
     want = brute_repeats(rows, 20)
     df = frame(spark, rows).repartition(3)
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(df, window=20, buckets=5).collect()}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in remove_repeats(df, window=20, buckets=5, hot=hot).collect()}
     assert got == want
     assert sum(x[1] > 0 for x in want.values()) > 20
 
 
+def test_substring_dedup_of_a_very_long_text(spark):
+    text = prose(random.Random(3), 300_000, 100_000)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in remove_repeats(frame(spark, [(1, text), (2, text + " end"), (3, "x y " * 200_000)]), window=20).collect()}
+    assert got == {1: (300_000, 0), 2: (300_001, 300_000), 3: (400_000, 399_998)}
+
+
 def test_substring_dedup_of_null_and_repeated_rows(spark):
     text = " ".join(map(str, range(30)))
     df = frame(spark, [(1, text), (1, text), (None, text), (None, None), (2, text)]).repartition(2)
