@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lsnframe.llm.batches import mapped
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the one that the session's context has been given.
-
-    A session with neither has to be on one machine; it gets a folder of its own there.  On a cluster
-    that would be one machine's disk, so RuntimeError is raised."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows in reliable checkpoint files in the shared folder, without lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from lsnframe.sources.storage import checkpointed as cut
 
 
 def unused(df: DataFrame, name: str) -> str:
