@@ -124,4 +124,13 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON m.id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_near_dedup": _OP7, "op6_substring_dedup": _OP6, "op10_decontamination": _OP10}
+_OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN m ON id = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_embedding_dedup": _OP4, "op7_near_dedup": _OP7, "op6_substring_dedup": _OP6, "op10_decontamination": _OP10}

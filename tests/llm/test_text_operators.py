@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lsnframe.llm import pii, quality, secrets
-from lsnframe.llm.language_id import UNKNOWN, Profiles, grams, keep_identified, predict, ranked
+from lsnframe.llm.language_id import UNKNOWN, Profiles, grams, identify, keep_identified, learn, predict, ranked
 from lsnframe.llm.piece_model import load
 from lsnframe.llm.queries import piece_model
 from lsnframe.llm.sentencepiece_codec import Codec, decode, encode, round_trip
@@ -368,9 +368,64 @@ def test_quality_learns_from_the_whole_text():
     assert all(np.allclose(again.p[k], whole.p[k], atol=1e-2) for k in plain)
 
 
-def test_recurrence_stays_in_its_document():
-    once = b"0123456789abcdefXYZ"
-    b = np.frombuffer(once + once, np.uint8)
-    inside = quality.recurrence(b, np.arange(len(b)).astype(np.uint8))
-    apart = quality.recurrence(b, np.tile(np.arange(len(once)), 2).astype(np.uint8))
-    assert inside.any() and not apart.any()
+def plain_score(net, text):
+    """The network by plain loops: windows, half chunks, chunks, mean, logistic."""
+    raw = (text or "").encode()
+    raw += b"\0" * (quality.WIDTH + -len(raw) % quality.STRIDE)
+    e, w = net.p["e"].astype(float), net.p["w"].astype(float)
+    seen = [np.maximum(np.concatenate([e[c] for c in raw[k : k + quality.WIDTH]]) @ w + net.p["b"], 0) for k in range(0, len(raw) - quality.WIDTH + 1, quality.STRIDE)]
+    halves = [np.max(seen[k : k + quality.HALF], axis=0, initial=0) for k in range(0, len(raw) // quality.STRIDE, quality.HALF)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+    return 1 / (1 + np.exp(-(np.mean(chunks, axis=0) @ net.p["v"] + net.p["c"][0])))
+
+
+def test_quality_against_plain_loops():
+    r = random.Random(3)
+    net = quality.Network()
+    net.trained = True
+    texts = [None, "", "a", "é" * 300, *("".join(r.choices("abc déf. \n", k=n)) for n in (5, 19, 20, 21, 490, 500, 512, 1020, 1024, 1030, 5000))]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_language_of_a_very_long_text(spark):
+    rows = [(i, LANGS[lang] + f" {i}", lang) for i, lang in enumerate(["en", "de", "fr"] * 30)] + [(1000, (LANGS["de"] + " ") * 30_000, None), (1001, "x" * 1_000_000, None)]
+    got = {x.doc_id: x.lang_pred for x in predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 1000").collect()}
+    assert got[1000] == "de" and got[1001] in LANGS
+    with pytest.raises(ValueError, match="languages"):
+        learn(spark.createDataFrame([(i, "a b", f"l{i}") for i in range(20)], "id long, text string, label string"), most_languages=19)
+    clash = spark.createDataFrame([(1, LANGS["en"], "en", "a", 1.0, "b")] * 3, "doc_id long, text string, lang string, language string, language_score double, found string")
+    out = identify(clash, learn(clash.selectExpr("doc_id AS id", "text", "lang AS label")))
+    assert out.columns == clash.columns and [(x.language, x.found) for x in out.collect()] == [("en", "b")] * 3
+
+
+def test_chosen_languages_are_kept(spark):
+    rows = [(i, LANGS[lang] + f" {i}", lang) for i, lang in enumerate(["en", "de", "fr"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.lang for x in keep_identified(df, languages=["de", "fr"]).collect()} == {"de", "fr"}
+
+
+@pytest.mark.parametrize("kind", ["letters", "symbols", "wide"])
+def test_a_million_characters_without_a_space(spark, sp, kind):
+    r = random.Random(11)
+    text = "".join(r.choices({"letters": "abcdefghijklmnopqrstuvwxyz", "symbols": "ABCDEFabcdef0123456789+/", "wide": "日本語中文字的是不了人我在有他这é"}[kind], k=1_000_000))
+    df = frame(spark, [text, text[:10]])
+    want = sp.encode(text)
+    got = round_trip(df, piece_model()).where("doc_id = 0").first()
+    assert (got.n_tokens, got.ids_sha256) == (len(want), sha256(",".join(map(str, want)).encode()).hexdigest())
+    assert got.decoded_sha256 == sha256(text.encode()).hexdigest()
+    assert count_tokens(df, piece_model()).where("doc_id = 0").first().n_tokens == len(want)
+
+
+def test_merges_of_one_round_match_merges_one_by_one(sp):
+    """Runs and overlaps of equal pairs, where merges of one round could get in each other's way."""
+    r = random.Random(13)
+    model, codec = load(piece_model()), Codec(load(piece_model()))
+    parts = [p.replace("▁", "") for p in model.ids if 1 < len(p) < 7]
+    texts = ["a" * n for n in range(1, 70)] + ["ab" * n + "a" * (n % 5) for n in range(40)] + ["".join(r.choices(r.sample(parts, 3), k=r.randint(1, 60))) for _ in range(1500)]
+    assert [codec.encode(t) for t in texts] == sp.encode(texts)
+
+
+def test_secrets_of_a_very_long_text(spark, forest):
+    text = "some words and password=7602ad27cf5550de1c, then /usr/share/doc/readme " * 8000
+    row = secrets.scan(frame(spark, [text]), forest).first()
+    assert row.n_secrets == 8000
