@@ -7,7 +7,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from lsnframe.llm import embedding_dedup, near_dedup
+from lsnframe.llm import decontamination, embedding_dedup, near_dedup, substring_dedup
 from lsnframe.llm.components import components
 from lsnframe.llm.decontamination import keep_clean, scan
 from lsnframe.llm.embedding_dedup import near_vectors
@@ -284,3 +284,19 @@ def test_as_many_vectors_are_found_with_more_pivots():
         nearness = np.arange(near, 0, -1)
         found = (same.sum((1, 2)) >= 2) & ((same * nearness[:, None] * nearness).sum((1, 2)) >= 0.35 * near**2)
         assert found.mean() > 0.998
+
+
+def test_what_is_broadcast_can_be_shuffled(spark, monkeypatch):
+    """The same answers on both sides of the bounds of what is sent to every task."""
+    r = random.Random(21)
+    base = [prose(r, 40, 60) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.replace("w1 ", "w2 ", 1)) for i, t in enumerate(base)] + [(200, None)]
+    df, bench = frame(spark, rows), spark.createDataFrame([(1, base[3]), (2, base[4])], "item_id long, text string")
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, x + 0.01)))], "vec_id long, embedding array<double>")
+    plain = lambda f: sorted(map(repr, f.collect()))
+    runs = [lambda: plain(near_duplicates(df, k=2)), lambda: plain(keep_clean(df, bench)), lambda: plain(near_vectors(vectors)), lambda: plain(remove_repeats(df, hot=2))]
+    sent = [f() for f in runs]
+    for module, name in ((near_dedup, "MOST_SENT"), (decontamination, "MOST_GONE"), (embedding_dedup, "MOST_LISTS"), (substring_dedup, "MOST_HOT")):
+        monkeypatch.setattr(module, name, 0)
+    assert [f() for f in runs] == sent
