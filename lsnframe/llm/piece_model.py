@@ -25,7 +25,7 @@ NONE = np.iinfo(np.int32).max
 #: Characters that are no piece get symbol UNKNOWN + code point, written as one token a byte.
 UNKNOWN = 1 << 16
 #: Characters that are encoded together.
-SLICE = 1 << 18
+SLICE = 1 << 20
 
 
 class PieceModel:

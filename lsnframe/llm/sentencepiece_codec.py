@@ -18,10 +18,14 @@ from lsnframe.llm.hashing import Recent
 from lsnframe.llm.piece_model import SLICE, PieceModel, load
 
 
+#: Bytes of encoded units that a worker remembers.
+CACHE = 128 << 20
+
+
 class Codec:
     """Encodes texts through a cache of encoded units of about ``most`` bytes."""
 
-    def __init__(self, model: PieceModel, most: int = 48 << 20) -> None:
+    def __init__(self, model: PieceModel, most: int = CACHE) -> None:
         self.model = model
         #: unit -> (ids as text, decoded bytes)
         self._recent = Recent(most)
@@ -60,21 +64,21 @@ class Codec:
         return self.model.decode_bytes(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(load(path))
-    return _codecs[path]
+def codec(path: str, most: int = CACHE) -> Codec:
+    if (path, most) not in _codecs:
+        _codecs[path, most] = Codec(load(path), most)
+    return _codecs[path, most]
 
 
-def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """id, n_tokens, SHA-256 of the comma-joined ids and of the decoded text, one row per input row."""
     schema = f"{docs.select(F.col(id_col).alias('doc_id')).schema.simpleString()[7:-1]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_path)
+        c = codec(model_path, cache)
         for batch in batches:
             for a, b, texts in pieces(batch.column(1)):
                 counts, ids_sha, decoded_sha = [], [], []

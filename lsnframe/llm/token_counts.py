@@ -28,7 +28,7 @@ START = (1 << 21) - 1  # stands before the first token of a unit
 
 
 class PrefixCounter:
-    def __init__(self, model: PieceModel, most: int = 48 << 20, most_pairs: int = 400_000) -> None:
+    def __init__(self, model: PieceModel, most: int = 256 << 20, most_pairs: int = 400_000) -> None:
         """``most`` bounds the bytes of the cache of units, ``most_pairs`` that of pairs of tokens."""
         self.model, self.most_pairs = model, most_pairs
         self._recent = Recent(most)
