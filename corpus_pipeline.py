@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip(docs, piece_model())
+    return round_trip(docs, piece_model(), cache=48 << 20)  # beside what earlier stages left in executors
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
