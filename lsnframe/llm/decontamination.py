@@ -129,20 +129,62 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     )
 
 
+def _by_text(docs: DataFrame, text_col: str) -> tuple[Column, Column, DataFrame]:
+    """128 bits that stand for a row's text, in two columns, and a frame of them with the words."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(7), text)
+    return one, two, docs.select(one.alias("_one"), two.alias("_two"), words(F.col(text_col)).alias("w"))
+
+
+def _sent(found: DataFrame) -> DataFrame:
+    """Rows of contaminated texts, to be sent to every task unless they are too many."""
+    found = cut(found)
+    return F.broadcast(found) if found.count() <= MOST_GONE else found
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows, with all their columns, in which no window of the benchmark occurs.
 
     A row's own text decides, whatever its id: rows are held against the 128-bit hashes of contaminated texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    one, two = F.xxhash64(text), F.xxhash64(F.lit(7), text)
-    base = docs.select(one.alias("_one"), two.alias("_two"), words(F.col(text_col)).alias("w"))
+    one, two, base = _by_text(docs, text_col)
     windows = cut(benchmark_windows(benchmark, window))
     parts, lengths = _parts(windows, most_bytes)
     if not parts:
         return docs
-    gone = cut(reduce(DataFrame.unionAll, [_looked_at(base, p, lengths).where("s IS NOT NULL").select("_one", "_two") for p in parts]).distinct())
-    if gone.count() <= MOST_GONE:
-        gone = F.broadcast(gone)
+    gone = _sent(reduce(DataFrame.unionAll, [_looked_at(base, p, lengths).where("s IS NOT NULL").select("_one", "_two") for p in parts]).distinct())
     a, b = unused(docs, "one"), unused(docs, "two")
     gone = gone.select(F.col("_one").alias(a), F.col("_two").alias(b))
     return docs.join(gone, (one == F.col(a)) & (two == F.col(b)), "left_anti")
+
+
+def _ranges(hits: Column) -> Column:
+    """Covered word ranges (s, e), e exclusive, ascending and apart."""
+    none = F.expr("CAST(array() AS array<struct<s: int, e: int>>)")
+
+    def grow(a: Column, x: Column) -> Column:
+        end, last = x["s"] + x["n"], F.element_at(a, -1)
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], end).alias("e"))
+        alone = F.struct(x["s"].alias("s"), end.alias("e"))
+        return F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(alone)))
+
+    return F.aggregate(F.array_sort(hits), none, grow)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All rows and columns; from a text in which windows of the benchmark occur their words are cut, and what
+    stands between two words that are cut.  Other texts, null ones too, stay as they are."""
+    one, two, base = _by_text(docs, text_col)
+    hits = _sent(_occurrences(base, benchmark, window, most_bytes).where(F.size("hits") > 0).select("_one", "_two", _ranges(F.col("hits")).alias("gone")))
+    a, b, gone = unused(docs, "one"), unused(docs, "two"), unused(docs, "gone")
+    hits = hits.select(F.col("_one").alias(a), F.col("_two").alias(b), F.col("gone").alias(gone))
+    # words and what stands between them take turns
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))
+    first = F.when(F.col(text_col).rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)
+
+    def stays(_: Column, i: Column) -> Column:
+        word = F.floor((i - first) / 2)
+        between = F.pmod(i - first, F.lit(2))  # 1 for what stands after a word: it goes if both neighbours do
+        return ~F.exists(F.col(gone), lambda r: (word >= r["s"]) & (word + between < r["e"]))
+
+    left = F.array_join(F.filter(tokens, stays), "")
+    return docs.join(hits, (one == F.col(a)) & (two == F.col(b)), "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).drop(a, b, gone)

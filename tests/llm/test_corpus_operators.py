@@ -9,7 +9,7 @@ import pytest
 
 from lsnframe.llm import decontamination, embedding_dedup, near_dedup, substring_dedup
 from lsnframe.llm.components import components
-from lsnframe.llm.decontamination import keep_clean, scan
+from lsnframe.llm.decontamination import keep_clean, remove_spans, scan
 from lsnframe.llm.embedding_dedup import near_vectors
 from lsnframe.llm.near_dedup import keep_one, near_duplicates
 from lsnframe.llm.substring_dedup import remove_repeats
@@ -192,6 +192,30 @@ def test_decontamination(spark, most):
         assert left.columns == df.columns and {x.doc_id for x in left.collect()} == {i for i, x in want.items() if not x[4]}
 
 
+def test_decontamination_cuts_spans(spark):
+    r = random.Random(16)
+    items = [(i, prose(r, r.randint(10, 14), 50)) for i in range(4)] + [(9, "Über den Fluß")]
+    pattern = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    rows = [(i, f"{'! ' * (i % 2)}{prose(r, i % 4, 50)} {items[i % 4][1].upper()}{' -- ' + items[(i + 1) % 4][1] if i % 3 else ','} {prose(r, i % 5, 50)}.") for i in range(12)]
+    rows += [(20, None), (21, ""), (22, "clean text, all of it"), (23, "ÜBER, über den Fluß über den Fluß! 😀 end"), (24, items[0][1])]
+    want = {}
+    for i, t in rows:
+        spans = list(pattern.finditer(t or ""))
+        w = [m[0].translate({c: c + 32 for c in range(65, 91)}) for m in spans]
+        hit = set()
+        for _, item in items:
+            v = clean_words(item)
+            n = min(len(v), 10)
+            for k in range(len(v) - n + 1):
+                hit |= {x for s in range(len(w) - n + 1) if w[s : s + n] == v[k : k + n] for x in range(s, s + n)}
+        gone = {c for x in hit for c in range(spans[x].start(), spans[x + 1].start() if x + 1 in hit else spans[x].end())}
+        want[i] = t and "".join(c for k, c in enumerate(t) if k not in gone)
+    df, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    out = remove_spans(df, bench)
+    assert out.columns == df.columns and {x.doc_id: x.text for x in out.collect()} == want and want[22] == rows[-3][1]
+    assert {x.doc_id: x.text for x in remove_spans(df, bench.limit(0)).collect()} == dict(rows)
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     df = frame(spark, [(1, "a b c"), (1, "a b c"), (None, "x a b c")])
