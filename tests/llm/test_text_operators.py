@@ -425,6 +425,32 @@ def test_merges_of_one_round_match_merges_one_by_one(sp):
     assert [codec.encode(t) for t in texts] == sp.encode(texts)
 
 
+def test_secret_scan_against_plain_loops(spark, forest):
+    """Every tree walked node by node, and spans replaced from the end."""
+    r = random.Random(31)
+    many = lambda k, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choices(a, k=k))
+    made = [
+        lambda: "AKIA" + many(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: "password=" + many(18, "0123456789abcdef"), lambda: 'token: "' + many(24) + '"', lambda: "commit " + many(40, "0123456789abcdef"), lambda: "secret = changeme",
+        lambda: "/usr/share/" + "/".join(r.choices(LEX.words, k=4)) + "2.txt", lambda: "-".join(many(k, "0123456789abcdef") for k in (8, 4, 4, 4, 12)), lambda: " ".join(r.choices(LEX.words, k=6)), lambda: "é 漢 ",
+    ]
+    texts = [None, "", *(" ".join(r.choice(made)() for _ in range(r.randint(1, 12))) for _ in range(150))]
+
+    def share(tree, x, at=0):
+        return tree.share[at] if tree.feature[at] < 0 else share(tree, x, (tree.left if x[tree.feature[at]] <= tree.cut[at] else tree.right)[at])
+
+    got, kept = {x.doc_id: x for x in secrets.scan(frame(spark, texts), forest).collect()}, 0
+    for i, t in enumerate(texts):
+        found = secrets.candidates(t or "")
+        wanted = [(k, a, b) for k, a, b in found if np.mean([share(tree, secrets.features(k, t[max(0, a - 40) : a], t[a:b], t[b : b + 20], LEX)) for tree in forest.trees]) >= 0.5]
+        left = t or ""
+        for k, a, b in reversed(wanted):
+            left = f"{left[:a]}<{k.upper()}_SECRET>{left[b:]}"
+        assert (got[i].n_candidates, got[i].secrets) == (len(found), ",".join(f"{k}:{a}:{b}" for k, a, b in wanted))
+        assert got[i].redacted_sha256 == sha256(left.encode()).hexdigest()
+        kept += len(wanted)
+    assert 0 < kept < sum(x.n_candidates for x in got.values())
+
+
 def test_secrets_of_a_very_long_text(spark, forest):
     text = "some words and password=7602ad27cf5550de1c, then /usr/share/doc/readme " * 8000
     row = secrets.scan(frame(spark, [text]), forest).first()
