@@ -60,7 +60,9 @@ def _blocks(windows: DataFrame) -> DataFrame:
 
 def _parts(windows: DataFrame, most_bytes: int) -> tuple[list[DataFrame], list[int]]:
     """The windows in parts of at most about ``most_bytes`` each, and the lengths that occur."""
-    own = F.octet_length("window") + F.coalesce(F.aggregate(F.col("items"), F.lit(0), lambda a, x: a + F.octet_length(x) + 16), F.lit(0)) + 16 * F.col("n") + 64
+    own = F.octet_length("window") + F.coalesce(
+        F.aggregate(F.col("items"), F.lit(0), lambda a, x: a + F.octet_length(x) + 16), F.lit(0)
+    ) + 16 * F.col("n") + 64
     facts = windows.agg(F.sum(own).alias("bytes"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
     many = -(-(facts.bytes or 0) // most_bytes)
     part = F.pmod(F.xxhash64("window"), F.lit(max(1, many)))
@@ -80,7 +82,9 @@ def _looked_at(base: DataFrame, windows: DataFrame, lengths: list[int]) -> DataF
     rows = base.select(*keys, "w", count.alias("many"), F.explode(F.sequence(F.lit(0), count)).alias("i"))
     n, j = F.lit(None).cast("int"), F.lit(None).cast("int")
     for length, begin in zip(lengths, first, strict=True):
-        n, j = F.when((F.col("i") >= begin) & (F.col("i") < F.col("many")), F.lit(length)).otherwise(n), F.when((F.col("i") >= begin) & (F.col("i") < F.col("many")), F.col("i") - begin).otherwise(j)
+        n, j = F.when((F.col("i") >= begin) & (F.col("i") < F.col("many")), F.lit(length)).otherwise(n), F.when(
+            (F.col("i") >= begin) & (F.col("i") < F.col("many")), F.col("i") - begin
+        ).otherwise(j)
     rows = rows.select(*keys, "w", n.alias("n"), j.alias("j"))
     half = _half(F.col("n"))
     block = F.when(F.col("n").isNotNull(), F.xxhash64("n", F.slice("w", F.col("j") * half + 1, half)))
@@ -88,7 +92,9 @@ def _looked_at(base: DataFrame, windows: DataFrame, lengths: list[int]) -> DataF
     rows = rows.withColumn("block", block).join(known, "block", "left").where("known OR n IS NULL")
     low, high = F.greatest(F.col("j") * half + half - F.col("n"), F.lit(0)), F.least(F.col("j") * half, F.size("w") - F.col("n"))
     rows = rows.select(*keys, "w", "n", F.explode_outer(F.sequence(low, high)).alias("s"))
-    rows = rows.select(*keys, "n", "s", F.array_join(F.slice("w", F.coalesce(F.col("s"), F.lit(0)) + 1, F.coalesce(F.col("n"), F.lit(0))), " ").alias("window"))
+    rows = rows.select(
+        *keys, "n", "s", F.array_join(F.slice("w", F.coalesce(F.col("s"), F.lit(0)) + 1, F.coalesce(F.col("n"), F.lit(0))), " ").alias("window")
+    )
     found = rows.join(F.broadcast(windows.select("window", "items")), "window", "left")
     return found.where("s IS NULL OR items IS NOT NULL").select(*keys, "s", "n", "items")
 
@@ -98,7 +104,9 @@ def _occurrences(base: DataFrame, benchmark: DataFrame, window: int, most_bytes:
     windows = cut(benchmark_windows(benchmark, window))
     parts, lengths = _parts(windows, most_bytes)
     keys = [c for c in base.columns if c != "w"]
-    none = base.select(*keys, F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<string>").alias("items"))
+    none = base.select(
+        *keys, F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<string>").alias("items")
+    )
     found = reduce(DataFrame.unionAll, [_looked_at(base, p, lengths) for p in parts]) if parts else none
     hits = F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "n"))).alias("hits")
     return found.groupBy(*keys).agg(hits, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -115,12 +123,16 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), begin, grow, lambda a: a["n"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES
+) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row.
 
     Rows are numbered where they are read and meet again by that number.  That is the same number in every
     attempt of a task over files; rows that come out of a shuffle should be written first."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
+    base = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")
+    ).withColumn("n_words", F.size("w"))
     per_row = _occurrences(base, benchmark, window, most_bytes)
     n_hit = _covered(F.col("hits")).cast("long")
     return per_row.select(
@@ -165,7 +177,9 @@ def _ranges(hits: Column) -> Column:
         end, last = x["s"] + x["n"], F.element_at(a, -1)
         joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], end).alias("e"))
         alone = F.struct(x["s"].alias("s"), end.alias("e"))
-        return F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(alone)))
+        return F.when(
+            (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(joined))
+        ).otherwise(F.concat(a, F.array(alone)))
 
     return F.aggregate(F.array_sort(hits), none, grow)
 
@@ -174,7 +188,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
     """All rows and columns; from a text in which windows of the benchmark occur their words are cut, and what
     stands between two words that are cut.  Other texts, null ones too, stay as they are."""
     one, two, base = _by_text(docs, text_col)
-    hits = _sent(_occurrences(base, benchmark, window, most_bytes).where(F.size("hits") > 0).select("_one", "_two", _ranges(F.col("hits")).alias("gone")))
+    hits = _sent(
+        _occurrences(base, benchmark, window, most_bytes).where(F.size("hits") > 0).select("_one", "_two", _ranges(F.col("hits")).alias("gone"))
+    )
     a, b, gone = unused(docs, "one"), unused(docs, "two"), unused(docs, "gone")
     hits = hits.select(F.col("_one").alias(a), F.col("_two").alias(b), F.col("gone").alias(gone))
     # words and what stands between them take turns
@@ -187,4 +203,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
         return ~F.exists(F.col(gone), lambda r: (word >= r["s"]) & (word + between < r["e"]))
 
     left = F.array_join(F.filter(tokens, stays), "")
-    return docs.join(hits, (one == F.col(a)) & (two == F.col(b)), "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).drop(a, b, gone)
+    return docs.join(hits, (one == F.col(a)) & (two == F.col(b)), "left").withColumn(
+        text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
+    ).drop(a, b, gone)

@@ -72,7 +72,9 @@ def _weights(order: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _linked(x: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray, pair: tuple[int, int], threshold: float, least: float) -> np.ndarray:
+def _linked(
+    x: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray, pair: tuple[int, int], threshold: float, least: float
+) -> np.ndarray:
     """Which vectors of left and right are linked, if the two pivots are the smallest ones they share."""
     columns = np.unique(order[np.concatenate((left, right))])
     a, b = _weights(order[left], columns), _weights(order[right], columns)
@@ -153,17 +155,27 @@ def _found(classes: DataFrame, dims: int, n: int, threshold: float, pivots: int,
             two = np.sort(order, axis=1)
             keys = two[:, i] * count + two[:, j] if near > 1 else np.zeros((len(two), 1), np.int64)
             perm = [p.tobytes() for p in order.astype(np.uint32)]
-            columns = [b.column(1), b.column(2), pa.array(perm, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))]
+            columns = [
+                b.column(1),
+                b.column(2),
+                pa.array(perm, pa.binary()),
+                pa.array([r.tobytes() for r in x], pa.binary()),
+                pa.array(list(keys), pa.list_(pa.int64())),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "perm", "vector", "keys"])
 
     posted = cut(mapped(classes.select("vector", "rep", "size"), post, "rep long, size long, perm binary, vector binary, keys array<long>"))
     each = posted.select(F.explode("keys").alias("key"), "rep", "size", "perm", "vector")
-    lists = posted.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    lists = posted.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select(
+        "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")
+    )
     if count * (count - 1) // 2 <= MOST_LISTS:  # there are no more lists than pairs of pivots
         lists = F.broadcast(lists)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = each.join(lists, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "perm", "vector", "blocks")
+    dealt = dealt.select(
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "size", "perm", "vector", "blocks"
+    )
     task = F.when(F.col("blocks") > 1, F.xxhash64("key", "lo", "hi")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(64, n // 500))))
     return cut(dealt.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(lambda t: _links(t, threshold, least, kind, count), _FOUND))
 
@@ -174,7 +186,12 @@ def near_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     v = F.col("vector")
-    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
+    good = F.coalesce(
+        F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(
+            v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+        ) & F.exists(v, lambda c: c != 0),
+        F.lit(False),
+    )
     base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("vector", F.when(good, v))
     classes = cut(base.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size")))
     result = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -184,10 +201,19 @@ def near_vectors(
     # one vector alone in its length has nothing to meet
     for r in classes.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect():
         count, near = index_size(r.n)
-        found = found.unionAll(_found(classes.where(F.size("vector") == r.dims), r.dims, r.n, threshold, pivots or count, nearest or near, least, sample, block))
+        found = found.unionAll(
+            _found(classes.where(F.size("vector") == r.dims), r.dims, r.n, threshold, pivots or count, nearest or near, least, sample, block)
+        )
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select("rep", "root"), "rep", "root").select(F.col("id").alias("rep"), "component")
-    named = classes.join(sums, "rep", "left").join(parts, "rep", "left").where("size > 1 OR links IS NOT NULL").select("vector", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = classes.join(sums, "rep", "left").join(parts, "rep", "left").where("size > 1 OR links IS NOT NULL").select(
+        "vector", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
+    )
     out = base.join(named, "vector", "left")
     component = F.coalesce("component", F.col("vec_id").cast("long"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
+    )

@@ -141,13 +141,17 @@ def held_out(id_: Column) -> Column:
 def learn(labelled: DataFrame, per_language: int = 1500, size: int = 300, most_languages: int = 10_000) -> Profiles:
     """Profiles from the columns id, text and label of all rows given."""
     rows = labelled.where("label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").select("id", "text", "label")
-    share = [(r.label, min(1.0, per_language / r["n"])) for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()]
+    share = [
+        (r.label, min(1.0, per_language / r["n"])) for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    ]
     if len(share) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not share:
         return Profiles({}, size)
     parts = labelled.sparkSession.createDataFrame(share, "label string, part double")  # most_languages rows at most
-    drawn = rows.join(F.broadcast(parts), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("part") * 1_000_000).select("label", "text")
+    drawn = rows.join(F.broadcast(parts), "label").where(
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("part") * 1_000_000
+    ).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +162,9 @@ def learn(labelled: DataFrame, per_language: int = 1500, size: int = 300, most_l
                 for label, found in by.items():
                     codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                     n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["label", "code", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([label] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["label", "code", "n"]
+                    )
 
     counted = mapped(drawn, count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= size)
@@ -175,23 +181,34 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
     @F.arrow_udf("lang string, score double")
     def guess(column: pa.Array) -> pa.Array:
         found = [profiles.identify(t) for _, _, texts in pieces(column) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in found], pa.string()), pa.array([g[1] for g in found], pa.float64())], ["lang", "score"])
+        return pa.StructArray.from_arrays(
+            [pa.array([g[0] for g in found], pa.string()), pa.array([g[1] for g in found], pa.float64())], ["lang", "score"]
+        )
 
     name = unused(docs, "found")
     found = docs.withColumn(name, guess(F.col(text_col)))
     return found.withColumns({"language": F.col(f"{name}.lang"), "language_score": F.col(f"{name}.score")}).drop(name)
 
 
-def predict(docs: DataFrame, per_language: int = 1500, size: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def predict(
+    docs: DataFrame, per_language: int = 1500, size: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang"
+) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, learned from the rows that aren't held out."""
-    base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    base = docs.select(
+        F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(label_col).alias("label")
+    )
     profiles = learn(base.where("NOT held_out").select(F.col("doc_id").alias("id"), "text", "label"), per_language, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in pieces(batch.column(2)):
                 got = [profiles.identify(t) for t in texts]
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    batch.column(1).slice(a, b - a),
+                    pa.array([g[0] for g in got], pa.string()),
+                    pa.array([g[1] for g in got], pa.float64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -102,11 +102,22 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                 bands = np.empty((len(regs), BANDS), np.uint64)
                 for i in range(BANDS):
                     part = regs[:, i * ROWS : (i + 1) * ROWS].astype(np.uint64)
-                    bands[:, i] = mix(part[:, 0] | part[:, 1] << np.uint64(16) | part[:, 2] << np.uint64(32) | part[:, 3] << np.uint64(48)) * _ODD[-1] + np.uint64(i)
+                    bands[:, i] = mix(
+                        part[:, 0] | part[:, 1] << np.uint64(16) | part[:, 2] << np.uint64(32) | part[:, 3] << np.uint64(48)
+                    ) * _ODD[-1] + np.uint64(i)
                 n = np.diff(off)
                 hashes = [xxhash.xxh3_128_digest(s[off[i] : off[i + 1]].tobytes()) if n[i] else None for i in range(len(n))]
                 keys = [list(x) if c else None for x, c in zip(mix(bands).view(np.int64).tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hashes, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "registers", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(n, pa.int64()),
+                        pa.array(hashes, pa.binary()),
+                        pa.array([r.tobytes() for r in regs], pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "n_shingles", "set_hash", "registers", "bands"],
+                )
 
     return mapped(rows, run, "doc_id long, n_shingles long, set_hash binary, registers binary, bands array<long>")
 
@@ -141,13 +152,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
     """The pairs that size and likelihood leave, and their estimated similarity."""
     side = lambda c: unique.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y", "nx", "ny", "rx", "ry")
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select(
+        "x", "y", "nx", "ny", "rx", "ry"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 j = estimate(_matrix(b.column(4)), _matrix(b.column(5)), b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], ["x", "y", "j"]).filter(pa.array(j >= _slack(percent / 100)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j)], ["x", "y", "j"]).filter(
+                    pa.array(j >= _slack(percent / 100))
+                )
 
     return mapped(both, run, "x long, y long, j double")
 
@@ -161,7 +176,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         for batch in batches:
             for a, b, texts in pieces(batch.column(1)):
                 s, off = _sets(texts, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
+                    ["doc_id", "s"],
+                )
 
     sets = mapped(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), make, "doc_id long, s binary")
 
@@ -178,7 +196,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     # a document that many others are held against is dealt into parts
     hubs = F.broadcast(split_hubs(pairs.groupBy("y").agg(F.count("*").alias("n")), "y", pairs.count()))
     part = F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int")
-    first = pairs.join(hubs, "y", "left").select("x", "y", part.alias("part")).join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
+    first = pairs.join(hubs, "y", "left").select("x", "y", part.alias("part")).join(
+        sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x"
+    )
     parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
     second = sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")).join(hubs, "y", "left").select("y", "sy", parts.alias("part"))
     return mapped(first.join(second, ["y", "part"]).select("x", "y", "sx", "sy"), check, "x long, y long")
@@ -187,11 +207,21 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keyed documents with their components, and the keys that still hold several of these: the largest
     component (main), and into how many blocks its documents and all others are dealt."""
-    named = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    named = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "band", "rep", F.coalesce("component", "rep").alias("component")
+    )
     sizes = named.groupBy("key", "band", "component").agg(F.count("*").alias("size"))
-    still = sizes.groupBy("key", "band").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    still = sizes.groupBy("key", "band").agg(
+        F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("parts")
+    ).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    return named, still.select("key", "band", F.col("top.component").alias("main"), blocks(F.col("top.size")).alias("majors"), blocks(F.col("n") - F.col("top.size")).alias("minors"))
+    return named, still.select(
+        "key",
+        "band",
+        F.col("top.component").alias("main"),
+        blocks(F.col("top.size")).alias("majors"),
+        blocks(F.col("n") - F.col("top.size")).alias("minors"),
+    )
 
 
 def _short(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -205,7 +235,10 @@ def _short(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for a, b, texts in pieces(batch.column(1)):
                 s, off = _sets(texts, k)
                 s = (s >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["rep", "short"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([s[off[i] : off[i + 1]].tobytes() for i in range(b - a)], pa.binary())],
+                    ["rep", "short"],
+                )
 
     rows = docs.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return mapped(rows, make, "rep long, short binary")
@@ -238,7 +271,9 @@ def _forest(t: pa.Table, percent: int) -> pa.Table:
         if len(j) and band:  # pairs that share an earlier band meet there
             j = j[~(by_band[j, :band] == by_band[i, :band]).all(2).any(1)]
         if len(j):
-            j = j[estimate(regs[j], np.broadcast_to(regs[i], regs[j].shape), n[j].astype(float), np.full(len(j), float(n[i]))) >= _slack(percent / 100)]
+            j = j[
+                estimate(regs[j], np.broadcast_to(regs[i], regs[j].shape), n[j].astype(float), np.full(len(j), float(n[i]))) >= _slack(percent / 100)
+            ]
         if not len(j):
             continue
         mine[short[i]] = True
@@ -264,9 +299,23 @@ def _across(named: DataFrame, still: DataFrame, unique: DataFrame, short: DataFr
     # documents of the main component are never held against each other, so each is dealt once for every
     # block of the others, and the others for every block
     major, every = F.col("component") == F.col("main"), F.col("majors") + F.col("minors")
-    own = F.when(major, F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(F.col("majors") + F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int")
+    own = F.when(major, F.pmod(F.xxhash64("rep"), F.col("majors"))).otherwise(
+        F.col("majors") + F.pmod(F.xxhash64("rep"), F.col("minors"))
+    ).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(major, F.col("majors")).otherwise(0), every - 1)))
-    rows = rows.select("key", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "n_shingles", "registers", "short", "failed")
+    rows = rows.select(
+        "key",
+        "band",
+        F.least("own", "other").alias("lo"),
+        F.greatest("own", "other").alias("hi"),
+        "own",
+        "rep",
+        "component",
+        "n_shingles",
+        "registers",
+        "short",
+        "failed",
+    )
     return rows.groupBy("key", "band", "lo", "hi").applyInArrow(lambda t: _forest(t, percent), "x long, y long")
 
 
@@ -274,8 +323,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles, component_id and kept (the smallest id of its component) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = cut(sketches(docs, k))
-    classes = cut(base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
-    unique = base.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    classes = cut(
+        base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+    )
+    unique = base.join(
+        classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
+    ).where("n_shingles > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     keyed = unique.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = cut(keyed.join(leaders.select("key", "leader"), "key").select("key", "band", "rep", "leader"))
@@ -304,7 +357,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             break
         failed = cut(wrong if failed is None else failed.unionAll(wrong))
         named, still = _named(shared, found)
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select(
+        "set_hash", F.coalesce("component", "rep").alias("component")
+    )
     out = base.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -318,7 +373,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     if ids.where("id IS NULL OR n > 1").isEmpty():
         gone = near_duplicates(docs, k, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col))
         return docs.join(gone, docs[id_col].cast("long") == gone[id_col], "left_anti")
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.struct("*").alias("doc"), F.col(text_col).alias("text")))
+    rows = cut(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.struct("*").alias("doc"), F.col(text_col).alias("text")
+        )
+    )
     found = near_duplicates(rows, k, percent, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
-    first = rows.select("row", "id").join(found, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")).select("first.row")
+    first = rows.select("row", "id").join(found, "row").groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    ).select("first.row")
     return rows.join(first, "row", "left_semi").select("doc.*")

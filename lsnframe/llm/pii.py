@@ -50,7 +50,10 @@ _MORE = {
     "mac": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"),
     "email_disguised": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{2,63}){1,4}"),
 }
-_FOR = re.compile(r"(?:e-?mails?|mail|contact|write|reach|phones?|tel(?:efon|ephone|éfono)?|call|mobile|fax|cards?|visa|amex|iban|konto|account|compte|cuenta|ssn|social|security|ip|host|server|mac|address|adresse)\W{0,4}$", re.I)
+_FOR = re.compile(
+    r"(?:e-?mails?|mail|contact|write|reach|phones?|tel(?:efon|ephone|éfono)?|call|mobile|fax|cards?|visa|amex|iban|konto|account|compte|cuenta|ssn|social|security|ip|host|server|mac|address|adresse)\W{0,4}$",
+    re.I,
+)
 _AGAINST = re.compile(r"(?:isbn|issn|doi|version|ver|v|order|invoice|page|line|section|rfc|build|sku|part|no|nr|id|figure|table)\W{0,4}$", re.I)
 _DIGITS = re.compile("[0-9]")
 # Published prefixes and lengths (fixed values).
@@ -61,7 +64,26 @@ _CALLING = frozenset(
 #: First digits of the zones whose country codes have three.
 _CALLING_3 = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
 #: First and last prefix of card issuers.
-_CARDS = [(4, 4), (51, 55), (2221, 2720), (34, 34), (37, 37), (36, 36), (38, 39), (300, 305), (3528, 3589), (6011, 6011), (644, 649), (65, 65), (62, 62), (50, 50), (56, 58), (60, 60), (63, 63), (67, 69)]
+_CARDS = [
+    (4, 4),
+    (51, 55),
+    (2221, 2720),
+    (34, 34),
+    (37, 37),
+    (36, 36),
+    (38, 39),
+    (300, 305),
+    (3528, 3589),
+    (6011, 6011),
+    (644, 649),
+    (65, 65),
+    (62, 62),
+    (50, 50),
+    (56, 58),
+    (60, 60),
+    (63, 63),
+    (67, 69),
+]
 #: Lengths of account numbers by country.
 _IBAN = dict(
     x.split(":") for x in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VG:24 XK:20".split()
@@ -138,7 +160,9 @@ def more_candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[t
     out = []
     digits = _DIGITS.search(text) is not None
     for kind, pattern in _MORE.items():
-        if (kind == "email_disguised" and ("(at" in text or "[at" in text)) or (kind in ("ipv6", "mac") and ":" in text) or (kind not in ("email_disguised", "ipv6", "mac") and digits):
+        if (kind == "email_disguised" and ("(at" in text or "[at" in text)) or (kind in ("ipv6", "mac") and ":" in text) or (
+            kind not in ("email_disguised", "ipv6", "mac") and digits
+        ):
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
     free, last, i = [], 0, 0
     for kind, a, b in sorted(out, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
@@ -282,7 +306,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 more = [f"{k}:{a}:{e}" for k, a, e in sorted(more, key=lambda x: (KINDS.index(x[0]), x[1]))]
                 spans.append(",".join(said + more))
                 added.append(len(more))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    *(pa.array(counts[k], pa.int64()) for k in BASE),
+                    pa.array(shas, pa.string()),
+                    pa.array(spans, pa.string()),
+                    pa.array(added, pa.int64()),
+                ],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return mapped(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

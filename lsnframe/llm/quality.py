@@ -145,19 +145,25 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 400, label: str = "quality") -> Network:
     """A network from doc_id and text of docs and doc_id and a 0/1 column of labels."""
-    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y")).where(~held_out(F.col("doc_id")))
+    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y")).where(
+        ~held_out(F.col("doc_id"))
+    )
     share = {r.y: min(1.0, per_class / r["n"]) for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     net = Network()
     if len(share) < 2:
         return net
     part = F.when(F.col("y") == 0, share[0]).otherwise(share[1])
     drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(drawn), "doc_id"
+    ).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     net.fit([r.text for r in rows], [r.y for r in rows])
     return net
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 400, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     net = train(base, labels, per_class)
@@ -166,7 +172,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class:
         for batch in batches:
             for a, b, texts in pieces(batch.column(2), BLOCK):
                 s = net.score(texts)
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    batch.column(1).slice(a, b - a),
+                    pa.array(s, pa.float64()),
+                    pa.array([int(x >= threshold) for x in s], pa.int32()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -45,13 +45,19 @@ _MARK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----")
 _OPEN = re.compile(r"\s*+(?:[A-Z][A-Za-z-]{0,40}+: [^\n]*+\n)*+[^-]*+")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 _SIGN = re.compile("[=:]")
-_NAME = re.compile(r"(?:^|[^A-Za-z0-9])([A-Za-z0-9_.-]{0,20}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey)s?)[\"']?[ \t]{0,3}$", re.I)
+_NAME = re.compile(
+    r"(?:^|[^A-Za-z0-9])([A-Za-z0-9_.-]{0,20}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential|apikey)s?)[\"']?[ \t]{0,3}$",
+    re.I,
+)
 _VALUE = re.compile(r"[ \t]{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}+={0,2}")
 _DIGIT, _UPPER, _LOWER = (re.compile(x) for x in ("[0-9]", "[A-Z]", "[a-z]"))
 KINDS = ("issued", "block", "jwt", "assigned", "long")
 _GOOD = re.compile(r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access|private|credential|auth|bearer|login", re.I)
-_BAD = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|commit|sha-?(?:1|256)|md5|digest|checksum|hash|uuid|guid|revision|version|etag|integrity|license|null|none|undefined", re.I)
+_BAD = re.compile(
+    r"example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|commit|sha-?(?:1|256)|md5|digest|checksum|hash|uuid|guid|revision|version|etag|integrity|license|null|none|undefined",
+    re.I,
+)
 _PATH = re.compile(r"[/\\][\w.-]+[/\\]|https?:|www\.|\.(?:py|js|java|md|txt|json|html?|png|jpg|so|dll)$")
 #: Words of code and placeholders that a corpus of prose may lack (fixed values).
 _WORDS = """
@@ -294,7 +300,9 @@ def generated(lex: Lexicon, n: int = 4000, seed: int = 17) -> list[tuple[str, st
     words = [w for w in lex.words if w.isascii()]
     word = lambda: r.choice(words)
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 4))) + " "
-    given = lambda: r.choice(["password=", "token = \"", "secret: ", "api_key=", "PASSWORD=", "access_key = '", "auth_token: ", "pwd=", "client_secret=", "db_password: "])
+    given = lambda: r.choice(
+        ["password=", "token = \"", "secret: ", "api_key=", "PASSWORD=", "access_key = '", "auth_token: ", "pwd=", "client_secret=", "db_password: "]
+    )
     out = []
     for i in range(n):
         kind = i % 18
@@ -310,18 +318,57 @@ def generated(lex: Lexicon, n: int = 4000, seed: int = 17) -> list[tuple[str, st
         elif kind == 5:
             row = (prose() + given(), many(lower + upper + digits + "!@#$%^&*", r.randint(8, 20)), end, 1)
         elif kind == 6:
-            row = (prose(), "eyJ" + many(lower + upper + digits, 30) + ".eyJ" + many(lower + upper + digits, 60) + "." + many(lower + upper + digits + "-_", 43), end, 1)
+            row = (
+                prose(),
+                "eyJ" + many(lower + upper + digits, 30) + ".eyJ" + many(lower + upper + digits, 60) + "." + many(lower + upper + digits + "-_", 43),
+                end,
+                1,
+            )
         elif kind == 7:
             issued = r.choice(["AKIA", "ASIA"]) + many(upper + digits, 16) + r.choice("/:+_-")
-            row = (prose() + r.choice(["bearer ", "credential ", "secret key ", issued]), many(lower + upper + digits + "+/", r.randint(32, 88)), end, 1)
+            row = (
+                prose() + r.choice(["bearer ", "credential ", "secret key ", issued]), many(lower + upper + digits + "+/", r.randint(32, 88)), end, 1
+            )
         elif kind == 8:
-            row = (prose() + given(), r.choice(["changeme", "your_password_here", "your-token-here", "xxxxxxxx", "********", "placeholder", "example", "undefined", "${SECRET}", "<password>", "os.environ", "None1234", "testtest", "password"]), end, 0)
+            row = (
+                prose() + given(),
+                r.choice(
+                    [
+                        "changeme",
+                        "your_password_here",
+                        "your-token-here",
+                        "xxxxxxxx",
+                        "********",
+                        "placeholder",
+                        "example",
+                        "undefined",
+                        "${SECRET}",
+                        "<password>",
+                        "os.environ",
+                        "None1234",
+                        "testtest",
+                        "password",
+                    ]
+                ),
+                end,
+                0,
+            )
         elif kind == 9:
-            row = (prose() + r.choice(["commit ", "sha1 ", "sha256: ", "md5=", "revision ", "digest ", "checksum: ", "etag: "]), many("0123456789abcdef", r.choice([32, 40, 64])), end, 0)
+            row = (
+                prose() + r.choice(["commit ", "sha1 ", "sha256: ", "md5=", "revision ", "digest ", "checksum: ", "etag: "]),
+                many("0123456789abcdef", r.choice([32, 40, 64])),
+                end,
+                0,
+            )
         elif kind == 10:
             row = (prose(), "-".join(many("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), end, 0)
         elif kind == 11:
-            row = (prose() + r.choice(["/usr/", "https://host/", "src/", "C:/"]), "/".join(word() for _ in range(r.randint(3, 6))) + r.choice([".py", ".html", ".txt", "2"]), end, 0)
+            row = (
+                prose() + r.choice(["/usr/", "https://host/", "src/", "C:/"]),
+                "/".join(word() for _ in range(r.randint(3, 6))) + r.choice([".py", ".html", ".txt", "2"]),
+                end,
+                0,
+            )
         elif kind == 12:
             row = (prose() + given(), "_".join(word() for _ in range(r.randint(2, 4))), end, 0)
         elif kind == 13:
@@ -330,14 +377,34 @@ def generated(lex: Lexicon, n: int = 4000, seed: int = 17) -> list[tuple[str, st
             row = (prose(), r.choice(["-", "_"]).join(word() for _ in range(r.randint(3, 6))) + "-" + many(digits, r.randint(1, 4)), end, 0)
         elif kind in (16, 17):
             name = r.choice(["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "])
-            head, line = r.choice(["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + many("0123456789ABCDEF", 32) + "\n\n"]), r.choice(["\n", "\n", "\\n", " "])
+            head, line = r.choice(
+                ["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + many("0123456789ABCDEF", 32) + "\n\n"]
+            ), r.choice(["\n", "\n", "\\n", " "])
             if kind == 16:
                 body = line.join(many(lower + upper + digits + "+/", 64) for _ in range(r.randint(1, 60)))
             else:
-                body = r.choice(["", "...", "<key>", "YOUR KEY HERE", "your-private-key", "xxxxxxxx", "[REDACTED]", " ".join(word() for _ in range(r.randint(1, 40)))])
-            row = (prose(), f"-----BEGIN {name}PRIVATE KEY-----{line}{head}{body}" + r.choice(["", *[f"{line}-----END {name}PRIVATE KEY-----"] * 4]), end, int(kind == 16))
+                body = r.choice(
+                    [
+                        "",
+                        "...",
+                        "<key>",
+                        "YOUR KEY HERE",
+                        "your-private-key",
+                        "xxxxxxxx",
+                        "[REDACTED]",
+                        " ".join(word() for _ in range(r.randint(1, 40))),
+                    ]
+                )
+            row = (
+                prose(),
+                f"-----BEGIN {name}PRIVATE KEY-----{line}{head}{body}" + r.choice(["", *[f"{line}-----END {name}PRIVATE KEY-----"] * 4]),
+                end,
+                int(kind == 16),
+            )
         else:
-            row = (prose(), r.choice(["=", "-", "_"]) * r.randint(20, 60) + many(digits, r.randint(0, 2)), end, 0) if r.random() < 0.5 else (prose() + r.choice(["", "id ", "no. "]), many(digits, r.randint(16, 24)) + r.choice(["", "a"]), end, 0)
+            row = (prose(), r.choice(["=", "-", "_"]) * r.randint(20, 60) + many(digits, r.randint(0, 2)), end, 0) if r.random() < 0.5 else (
+                prose() + r.choice(["", "id ", "no. "]), many(digits, r.randint(16, 24)) + r.choice(["", "a"]), end, 0
+            )
         out.append(row)
     return out
 
@@ -365,9 +432,13 @@ def findings(spark: SparkSession, lex: Lexicon, n: int = 4000, seed: int = 17) -
 def learn(labelled: DataFrame, lex: Lexicon, most: int = 20_000) -> Forest:
     """A forest from the columns before, candidate, after and label (0 or 1) of labelled findings; from
     made-up ones if there are none."""
-    rows = labelled.where("candidate IS NOT NULL AND label IN (0, 1)").select(F.coalesce("before", F.lit("")).alias("b"), "candidate", F.coalesce("after", F.lit("")).alias("a"), "label")
+    rows = labelled.where("candidate IS NOT NULL AND label IN (0, 1)").select(
+        F.coalesce("before", F.lit("")).alias("b"), "candidate", F.coalesce("after", F.lit("")).alias("a"), "label"
+    )
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("b", "candidate", "a"), F.lit(1_000_000)) < 1_000_000 * min(1.0, most / max(1, n))).orderBy("candidate", "b", "a", "label").collect()
+    drawn = rows.where(F.pmod(F.xxhash64("b", "candidate", "a"), F.lit(1_000_000)) < 1_000_000 * min(1.0, most / max(1, n))).orderBy(
+        "candidate", "b", "a", "label"
+    ).collect()
     return train([tuple(r) for r in drawn] or generated(lex), lex)
 
 
@@ -403,8 +474,15 @@ def scan(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_id",
                 got = find(texts, forest)
                 sha = [sha256(redact(t or "", s).encode()).hexdigest() for t, (_, s) in zip(texts, got, strict=True)]
                 said = [",".join(f"{k}:{i}:{j}" for k, i, j in s) for _, s in got]
-                columns = [pa.array([n for n, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int64()), pa.array(said, pa.string()), pa.array(sha, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_candidates", "n_secrets", "secrets", "redacted_sha256"])
+                columns = [
+                    pa.array([n for n, _ in got], pa.int64()),
+                    pa.array([len(s) for _, s in got], pa.int64()),
+                    pa.array(said, pa.string()),
+                    pa.array(sha, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *columns], ["doc_id", "n_candidates", "n_secrets", "secrets", "redacted_sha256"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

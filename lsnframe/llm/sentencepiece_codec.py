@@ -91,7 +91,9 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                     ids_sha.append(sha256(ids.encode()).hexdigest())
                     text = b"".join([known[u][1] for u in units]).decode("utf-8", "replace").removeprefix(" ")
                     decoded_sha.append(sha256(text.encode()).hexdigest())
-                columns = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                columns = [
+                    batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

@@ -177,9 +177,17 @@ def _seeds(doc_ids: list[int], texts: list[str], window: int, seed: int, buckets
     _, which, count = np.unique(value, return_inverse=True, return_counts=True)
     twin = count[which] > 1
     d, a, b = _marks(doc[~first], place[~first], window)
-    own = (np.append(d, doc[at[twin]]), np.append(a, place[at[twin]]), np.append(b, place[at[twin]] + n[twin]), np.append(np.zeros(len(d), np.int64), value[twin].view(np.int64)), np.arange(len(d) + twin.sum()) >= len(d))
+    own = (
+        np.append(d, doc[at[twin]]),
+        np.append(a, place[at[twin]]),
+        np.append(b, place[at[twin]] + n[twin]),
+        np.append(np.zeros(len(d), np.int64), value[twin].view(np.int64)),
+        np.arange(len(d) + twin.sum()) >= len(d),
+    )
     if len(own[0]):
-        yield int(_bucket_of(np.array(doc_ids[:1], np.int64).view(np.uint64), buckets)[0]), None, _pack(*(x.astype(k) for x, k in zip(own, _OWN, strict=True)))
+        yield int(_bucket_of(np.array(doc_ids[:1], np.int64).view(np.uint64), buckets)[0]), None, _pack(
+            *(x.astype(k) for x, k in zip(own, _OWN, strict=True))
+        )
     lead = np.zeros(len(value), bool)  # one of each minimiser stands for all of them
     lead[np.unique(value, return_index=True)[1]] = True
     value, at, n, twin, count = value[lead], at[lead], n[lead], twin[lead], count[which][lead]
@@ -203,7 +211,14 @@ def _shared(group: pa.Table, hot: int) -> pa.Table:
     none = np.concatenate((np.zeros(len(k), bool), ~seeded, np.zeros(len(much), bool)))
     gone = np.arange(len(seeds)) >= len(seeds) - len(much)
     column = lambda x, y, kind, mask: pa.array(np.concatenate((x, y, np.zeros(len(much), np.int64))).astype(kind), mask=mask)
-    return pa.table({"doc_id": column(doc[k], d, np.int64, gone), "start": column(place[k], a, np.int32, gone), "stop": column(place[k] + n[k], b, np.int32, gone), "seed": pa.array(seeds, mask=none)})
+    return pa.table(
+        {
+            "doc_id": column(doc[k], d, np.int64, gone),
+            "start": column(place[k], a, np.int32, gone),
+            "stop": column(place[k] + n[k], b, np.int32, gone),
+            "seed": pa.array(seeds, mask=none),
+        }
+    )
 
 
 def _settle(group: pa.Table, window: int) -> pa.Table:
@@ -236,7 +251,9 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
         for batch in batches:
             for a, b, texts in pieces(batch.column(1), CHUNK):
                 out = list(_seeds(batch.column(0).slice(a, b - a).to_pylist(), texts, window, seed, buckets))
-                columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())]
+                columns = [
+                    pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "own"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +270,14 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
                         value.append(v)
                         packed.append(b" ".join(words[a : b + window - 1]))
                 d, p, s, v = np.array(doc, np.int64), np.array(place, np.int32), np.array(size, np.int32), np.array(value, np.int64)
-                out = [(k, _pack(d[i], p[i], s[i], text=b" ".join([packed[j] for j in i.tolist()]))) for k, i in _by_bucket(_bucket_of(v.view(np.uint64), buckets), v)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "packed"])
+                out = [
+                    (k, _pack(d[i], p[i], s[i], text=b" ".join([packed[j] for j in i.tolist()]))) for k, i in _by_bucket(
+                        _bucket_of(v.view(np.uint64), buckets), v
+                    )
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "packed"]
+                )
 
     def lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,13 +287,17 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
                 for d, text, starts, stops in zip(ids, texts, *spans, strict=True):
                     words = words_of(text)
                     out += [(b" ".join(words[p : p + window]), d, p) for a, b in zip(starts, stops, strict=True) for p in range(a, b)]
-                columns = [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())]
+                columns = [
+                    pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())
+                ]
                 yield pa.RecordBatch.from_arrays(columns, ["words", "doc_id", "start"])
 
     def with_texts(spans: DataFrame) -> DataFrame:
         """Documents with a list of their spans; the rows get other names, so that their shuffle by id looks like
         the caller's and is done once."""
-        each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select("doc_id", "k.start", "k.stop", "k.seed")
+        each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "seed")).alias("k")).select(
+            "doc_id", "k.start", "k.stop", "k.seed"
+        )
         again = rows.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(each, F.col("d") == F.col("doc_id"))
         return again.select("d", "t", "start", "stop", "seed")
 
@@ -281,7 +308,9 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
     if few:
         much = F.broadcast(much) if few <= MOST_HOT else much
         windows = mapped(with_texts(spans.join(much, "seed", "left_semi")), lone, "words binary, doc_id long, start int")
-        first = windows.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("words", "first")
+        first = windows.groupBy("words").agg(
+            F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")
+        ).where("n > 1").select("words", "first")
         later = windows.join(first, "words").where(F.struct("doc_id", "start") != F.col("first"))
         settled = settled.unionAll(later.select("doc_id", "start", (F.col("start") + window).alias("stop")))
         spans = spans.join(much, "seed", "left_anti")
@@ -289,13 +318,26 @@ def repeats(rows: DataFrame, window: int = 20, seed: int = 5, buckets: int | Non
     return travelling.groupBy("bucket").applyInArrow(lambda t: _settle(t, window), "doc_id long, start int, stop int").unionAll(settled)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    window: int = 20,
+    seed: int = 5,
+    buckets: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_text: bool = False,
+    hot: int = HOT,
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, and the kept words (text) if asked for."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = repeats(known, window, seed, buckets, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = repeats(known, window, seed, buckets, hot).groupBy("doc_id").agg(
+        F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
+    )
     none = F.lit(None).cast("array<int>")
-    rows = known.join(found, "doc_id", "left").unionAll(base.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text", none.alias("starts"), none.alias("stops")))
+    rows = known.join(found, "doc_id", "left").unionAll(
+        base.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), "text", none.alias("starts"), none.alias("stops"))
+    )
     kept_type = ", text string" if keep_text else ""
 
     def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +358,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 5, buckets: in
                 kept_sha.append(sha256(out).hexdigest())
                 if keep_text:
                     kept.append(None if text is None else out.decode())
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha, pa.string())] + [pa.array(kept, pa.string())] * keep_text
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha, pa.string())] + [
+                pa.array(kept, pa.string())
+            ] * keep_text
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
 
     return mapped(rows, kept_words, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_type}")

@@ -66,7 +66,11 @@ class PrefixCounter:
             size = np.diff(at)
             alone = a[test] == START
             begin = at[:-1]
-            ok[test] = np.where(alone, (size == 1) & (sym[begin] == b[test]), (size == 2) & (sym[begin] == a[test]) & (sym[np.minimum(begin + 1, len(sym) - 1)] == b[test])) if len(test) else False
+            ok[test] = np.where(
+                alone,
+                (size == 1) & (sym[begin] == b[test]),
+                (size == 2) & (sym[begin] == a[test]) & (sym[np.minimum(begin + 1, len(sym) - 1)] == b[test]),
+            ) if len(test) else False
             self._fresh.update(zip(ask.tolist(), ok.tolist(), strict=True))
         got[open_] = [self._fresh[k] for k in keys[open_].tolist()]
         return got > 0

@@ -28,10 +28,14 @@ def prose(r, n, size=400):
 @pytest.mark.parametrize("local", [200_000, 40])
 def test_components(spark, local):
     """In one partition, and in several with stars; with a hub of more rows than a task takes."""
-    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3)] + [(1000, k) for k in range(1001, 1700)] + [(5000 - i, 4999 - i) for i in range(200)]
+    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200), (7, 3)] + [(1000, k) for k in range(1001, 1700)] + [
+        (5000 - i, 4999 - i) for i in range(200)
+    ]
     random.Random(1).shuffle(edges)
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(8), local=local).collect()}
-    assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)} | {i: 1000 for i in range(1000, 1700)} | {i: 4800 for i in range(4800, 5001)}
+    assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)} | {i: 1000 for i in range(1000, 1700)} | {
+        i: 4800 for i in range(4800, 5001)
+    }
     assert components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
 
 
@@ -55,7 +59,17 @@ def test_substring_dedup(spark, hot):
     r = random.Random(1)
     passage = prose(r, 55)
     rows = [(i, prose(r, r.randint(0, 80)) + (" " + passage + "\t" if i % 3 == 0 else "") + prose(r, 20)) for i in range(60)]
-    rows += [(100, "a b " * 60), (101, "x " * 100), (102, None), (103, ""), (104, passage), (105, passage), (106, " \n\t"), (107, "é ü " * 30), (108, prose(r, 3000))]
+    rows += [
+        (100, "a b " * 60),
+        (101, "x " * 100),
+        (102, None),
+        (103, ""),
+        (104, passage),
+        (105, passage),
+        (106, " \n\t"),
+        (107, "é ü " * 30),
+        (108, prose(r, 3000)),
+    ]
     rows += [(200, rows[0][1]), (201, rows[0][1])]
     r.shuffle(rows)
     want = brute_repeats(rows, 20)
@@ -67,7 +81,11 @@ def test_substring_dedup(spark, hot):
 
 def test_substring_dedup_of_a_very_long_text(spark):
     text = prose(random.Random(3), 300_000, 100_000)
-    got = {x.doc_id: (x.n_words, x.n_removed) for x in remove_repeats(frame(spark, [(1, text), (2, text + " end"), (3, "x y " * 200_000)]), window=20).collect()}
+    got = {
+        x.doc_id: (x.n_words, x.n_removed) for x in remove_repeats(
+            frame(spark, [(1, text), (2, text + " end"), (3, "x y " * 200_000)]), window=20
+        ).collect()
+    }
     assert got == {1: (300_000, 0), 2: (300_001, 300_000), 3: (400_000, 399_998)}
 
 
@@ -124,7 +142,18 @@ def test_near_dedup(spark, monkeypatch, k, block):
     for i in range(100, 160):
         base = prose(r, r.randint(1, 120))
         rows += [(i, base), (i + 100, changed(r, base, r.randint(0, 4)))]
-    rows += [(500, None), (501, ""), (502, "One"), (503, "oNE"), (504, "É one"), (505, "é one"), (506, " \n"), (507, core.upper()), (508, core), (509, core)]
+    rows += [
+        (500, None),
+        (501, ""),
+        (502, "One"),
+        (503, "oNE"),
+        (504, "É one"),
+        (505, "é one"),
+        (506, " \n"),
+        (507, core.upper()),
+        (508, core),
+        (509, core),
+    ]
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(frame(spark, rows).repartition(3), k=k).collect()}
     assert got == brute_near(rows, k, 80)
 
@@ -176,13 +205,29 @@ def brute_hits(rows, items, window):
 @pytest.mark.parametrize("most", [64 << 20, 700])
 def test_decontamination(spark, most):
     r = random.Random(6)
-    items = [(i, prose(r, r.randint(11, 30), 50)) for i in range(12)] + [(20, "Short Item, five words HERE"), (21, "Über"), (22, ""), (23, None), (24, "one two three four five six seven eight nine"), (25, "Short item five words here")]
+    items = [(i, prose(r, r.randint(11, 30), 50)) for i in range(12)] + [
+        (20, "Short Item, five words HERE"),
+        (21, "Über"),
+        (22, ""),
+        (23, None),
+        (24, "one two three four five six seven eight nine"),
+        (25, "Short item five words here"),
+    ]
     rows = [(i, prose(r, 60, 50)) for i in range(40)]
     for i in range(40, 60):
         w = items[i % 12][1].upper().split()
         cut = w[r.randint(0, 3) :]
         rows.append((i, prose(r, r.randint(0, 9), 50) + ".\n" + "--".join(cut) + "!" + prose(r, r.randint(0, 9), 50)))
-    rows += [(70, None), (71, ""), (72, "a short-item five (words) here."), (73, "über"), (74, "ÜBER"), (75, "x one two three four five six seven eight nine y"), (76, items[0][1] * 3), (77, items[0][1])]
+    rows += [
+        (70, None),
+        (71, ""),
+        (72, "a short-item five (words) here."),
+        (73, "über"),
+        (74, "ÜBER"),
+        (75, "x one two three four five six seven eight nine y"),
+        (76, items[0][1] * 3),
+        (77, items[0][1]),
+    ]
     df, bench = frame(spark, rows), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in scan(df, bench, most_bytes=most).collect()}
     want = brute_hits(rows, items, 10)
@@ -196,7 +241,12 @@ def test_decontamination_cuts_spans(spark):
     r = random.Random(16)
     items = [(i, prose(r, r.randint(10, 14), 50)) for i in range(4)] + [(9, "Über den Fluß")]
     pattern = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-    rows = [(i, f"{'! ' * (i % 2)}{prose(r, i % 4, 50)} {items[i % 4][1].upper()}{' -- ' + items[(i + 1) % 4][1] if i % 3 else ','} {prose(r, i % 5, 50)}.") for i in range(12)]
+    rows = [
+        (
+            i,
+            f"{'! ' * (i % 2)}{prose(r, i % 4, 50)} {items[i % 4][1].upper()}{' -- ' + items[(i + 1) % 4][1] if i % 3 else ','} {prose(r, i % 5, 50)}.",
+        ) for i in range(12)
+    ]
     rows += [(20, None), (21, ""), (22, "clean text, all of it"), (23, "ÜBER, über den Fluß über den Fluß! 😀 end"), (24, items[0][1])]
     want = {}
     for i, t in rows:
@@ -240,7 +290,16 @@ def test_embedding_dedup(spark, block):
     near = np.repeat(x[:1], 60, 0) + r.normal(size=(60, 64)) * 0.12
     pairs = x[10:60] + r.normal(size=(50, 64)) * r.uniform(0.05, 0.3, (50, 1))
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate((x, near, pairs)))]
-    rows += [(500 + i, rows[7][1]) for i in range(5)] + [(600, None), (601, [0.0] * 64), (602, [float("nan")] * 64), (603, [float("inf")] + [0.0] * 63), (604, [None] + [1.0] * 63), (605, []), (606, [1.0, 2.0]), (607, [2 * v for v in rows[8][1]])]
+    rows += [(500 + i, rows[7][1]) for i in range(5)] + [
+        (600, None),
+        (601, [0.0] * 64),
+        (602, [float("nan")] * 64),
+        (603, [float("inf")] + [0.0] * 63),
+        (604, [None] + [1.0] * 63),
+        (605, []),
+        (606, [1.0, 2.0]),
+        (607, [2 * v for v in rows[8][1]]),
+    ]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<float>, key int, rep int")
     got = {q.vec_id: (q.n_links, q.component_id, q.kept) for q in near_vectors(df, block=block).collect()}
     good = [(i, np.array(v, np.float64)) for i, v in rows if v and len(v) == 64 and None not in v and np.isfinite(v).all() and any(v)]
@@ -269,7 +328,17 @@ def test_filters_judge_rows_and_not_ids(spark):
     prose = lambda n: " ".join(f"w{r.randint(0, 999)}" for _ in range(n))
     a, b, c, leak = prose(60), prose(60), prose(60), prose(20)
     schema = "doc_id long, text string, row int, w int"
-    rows = [(None, a, 1, 0), (7, a, 2, 0), (7, a + " end", 3, 0), (None, b, 4, 0), (None, b, 5, 0), (8, c, 6, 0), (8, c, 7, 0), (9, None, 8, 0), (None, "", 9, 0)]
+    rows = [
+        (None, a, 1, 0),
+        (7, a, 2, 0),
+        (7, a + " end", 3, 0),
+        (None, b, 4, 0),
+        (None, b, 5, 0),
+        (8, c, 6, 0),
+        (8, c, 7, 0),
+        (9, None, 8, 0),
+        (None, "", 9, 0),
+    ]
     got = keep_one(spark.createDataFrame(rows, schema))
     assert got.columns == ["doc_id", "text", "row", "w"]
     kept = sorted(x.row for x in got.collect())
@@ -319,7 +388,12 @@ def test_what_is_broadcast_can_be_shuffled(spark, monkeypatch):
     x = np.random.default_rng(3).normal(size=(60, 8))
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, x + 0.01)))], "vec_id long, embedding array<double>")
     plain = lambda f: sorted(map(repr, f.collect()))
-    runs = [lambda: plain(near_duplicates(df, k=2)), lambda: plain(keep_clean(df, bench)), lambda: plain(near_vectors(vectors)), lambda: plain(remove_repeats(df, hot=2))]
+    runs = [
+        lambda: plain(near_duplicates(df, k=2)),
+        lambda: plain(keep_clean(df, bench)),
+        lambda: plain(near_vectors(vectors)),
+        lambda: plain(remove_repeats(df, hot=2)),
+    ]
     sent = [f() for f in runs]
     for module, name in ((near_dedup, "MOST_SENT"), (decontamination, "MOST_GONE"), (embedding_dedup, "MOST_LISTS"), (substring_dedup, "MOST_HOT")):
         monkeypatch.setattr(module, name, 0)

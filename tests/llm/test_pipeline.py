@@ -18,8 +18,17 @@ def test_pipeline(spark, tmp_path):
     prose = lambda n: " ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(n))
     leak = prose(25)
     rows = [(i, prose(80), "en") for i in range(40)]
-    rows += [(50, rows[3][1], "en"), (51, rows[4][1] + " end", "en"), (52, "123 456 !!", "en"), (53, None, None), (54, prose(9) + " " + leak, "en"), (55, prose(30) + " password=7602ad27cf5550de1c " + prose(9), "en")]
-    df = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [
+        (50, rows[3][1], "en"),
+        (51, rows[4][1] + " end", "en"),
+        (52, "123 456 !!", "en"),
+        (53, None, None),
+        (54, prose(9) + " " + leak, "en"),
+        (55, prose(30) + " password=7602ad27cf5550de1c " + prose(9), "en"),
+    ]
+    df = spark.createDataFrame(
+        [(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, gone = spark.read.parquet(str(tmp_path / "documents.parquet")), []
@@ -80,7 +89,9 @@ def test_pipeline_against_plain_loops(spark, tmp_path):
     rows = [(i, prose(r.randint(8, 120))) for i in range(60)]
     rows += [(100 + i, " ".join(t.split()[: -1 - i % 2])) for i, t in rows[:20]]
     rows += [(None, rows[5][1]), (7, rows[7][1]), (7, rows[7][1]), (None, prose(40)), (200, None), (201, ""), (202, "12 34"), (None, None)]
-    rows += [(300 + i, f"{prose(20)} {leak} {prose(5)}") for i, leak in enumerate(leaks)] + [(310, prose(30) + " password=" + "%030x" % r.getrandbits(120) + " " + prose(9)), (320, prose(60_000))]
+    rows += [(300 + i, f"{prose(20)} {leak} {prose(5)}") for i, leak in enumerate(leaks)] + [
+        (310, prose(30) + " password=" + "%030x" % r.getrandbits(120) + " " + prose(9)), (320, prose(60_000))
+    ]
     schema = "doc_id long, text string, lang string, source string, n_chars long, row int, w string, hits int, one long, found string, component_id long, language string"
     full = [(i, t, "en" if k % 7 else None, None, None, k, None, 3, 4, "x", 5, "y") for k, (i, t) in enumerate(rows)]
     spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "a" / "documents.parquet"))
@@ -89,7 +100,9 @@ def test_pipeline_against_plain_loops(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
     digest = lambda ids: sha256(",".join(map(str, ids)).encode()).hexdigest()
-    assert sorted((x.doc_id or -1, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got) == sorted((i or -1, len(ids), digest(ids), sha256(sp.decode(ids).encode()).hexdigest()) for i, t in want for ids in [sp.encode(t)])
+    assert sorted((x.doc_id or -1, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got) == sorted(
+        (i or -1, len(ids), digest(ids), sha256(sp.decode(ids).encode()).hexdigest()) for i, t in want for ids in [sp.encode(t)]
+    )
     assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("corpus-*"))
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "b" / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
