@@ -55,3 +55,21 @@ def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, li
         end = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, side="right")))
         yield at, end, column.slice(at, end - at).to_pylist()
         at = end
+
+
+def packed(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = matrix.shape[1] * matrix.dtype.itemsize
+    buffer = pa.py_buffer(np.ascontiguousarray(matrix).tobytes())
+    return pa.Array.from_buffers(pa.binary(width), len(matrix), [None, buffer]).cast(pa.binary()) if width else pa.array([b""] * len(matrix), pa.binary())
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type | str) -> np.ndarray:
+    """A matrix from equally long binary values, none of them null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = offsets[column.offset], offsets[column.offset + len(column)]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:last].view(kind).reshape(len(column), -1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lsnframe.llm.batches import mapped
+from lsnframe.llm.batches import mapped, packed, unpacked
 from lsnframe.llm.components import components, cut
 
 
@@ -92,8 +92,7 @@ def _links(t: pa.Table, threshold: float, least: float, kind: str, pivots: int)
     """Sums of links, and the smallest vector linked with, of the vectors of some lists or pairs of blocks of them."""
     key, lo, hi, own = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own"))
     rep, size = t.column("rep").to_numpy(), t.column("size").to_numpy().astype(float)
-    order = np.frombuffer(b"".join(t.column("perm").to_pylist()), np.uint32).reshape(len(rep), -1)
-    x = np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(rep), -1).astype(np.float64)
+    order, x = unpacked(t.column("perm"), np.uint32), unpacked(t.column("vector"), kind).astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     a = np.lexsort((rep, hi, lo, key))
     new = np.ones(len(a), bool)
@@ -154,14 +153,8 @@ def _found(classes: DataFrame, dims: int, n: int, threshold: float, pivots: int,
             i, j = np.triu_indices(near, 1)
             two = np.sort(order, axis=1)
             keys = two[:, i] * count + two[:, j] if near > 1 else np.zeros((len(two), 1), np.int64)
-            perm = [p.tobytes() for p in order.astype(np.uint32)]
-            columns = [
-                b.column(1),
-                b.column(2),
-                pa.array(perm, pa.binary()),
-                pa.array([r.tobytes() for r in x], pa.binary()),
-                pa.array(list(keys), pa.list_(pa.int64())),
-            ]
+            lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1], pa.array(keys.astype(np.int64).ravel()))
+            columns = [b.column(1), b.column(2), packed(order.astype(np.uint32)), packed(x), lists]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "size", "perm", "vector", "keys"])
 
     posted = cut(mapped(classes.select("vector", "rep", "size"), post, "rep long, size long, perm binary, vector binary, keys array<long>"))

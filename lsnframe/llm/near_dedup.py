@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lsnframe.llm.batches import mapped, pieces
+from lsnframe.llm.batches import mapped, packed, pieces, unpacked
 from lsnframe.llm.components import components, cut, split_hubs
 from lsnframe.llm.hashing import mix
 
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
                         batch.column(0).slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(hashes, pa.binary()),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
+                        packed(regs),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n_shingles", "set_hash", "registers", "bands"],
@@ -146,7 +146,7 @@ def _slack(similarity: float) -> float:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return unpacked(column, np.uint16).reshape(-1, REGISTERS)
 
 
 def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
