@@ -42,7 +42,7 @@ REGISTERS = BANDS * ROWS
 _ODD = (mix(np.arange(1, REGISTERS + 2, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _PLACE = (mix(np.arange(9001, 9065, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 #: Documents of a key are compared in blocks of this many.
-BLOCK = 1000
+BLOCK = 500
 #: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 
