@@ -32,12 +32,17 @@ def give_back() -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow over small batches, after which the worker gives its memory back."""
+    """df.mapInArrow over small batches, after each of which the worker gives its memory back."""
     small_batches(df.sparkSession)
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            give_back()
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(each(batches))
         finally:
             give_back()
 

@@ -149,12 +149,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return unpacked(column, np.uint16).reshape(-1, REGISTERS)
 
 
+def _beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs x, y with the columns of both documents (doc_id and others), their names ending in x and y.
+
+    A document y that many others are held against is dealt into parts, so that no task gets all of them."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    side = lambda c: rows.select(F.col("doc_id").alias(c), *[F.col(o).alias(o + c) for o in others])
+    hubs = F.broadcast(split_hubs(pairs.groupBy("y").agg(F.count("*").alias("n")), "y", pairs.count()))
+    part = F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int")
+    first = pairs.join(hubs, "y", "left").select("x", "y", part.alias("part")).join(side("x"), "x")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    second = side("y").join(hubs, "y", "left").select("y", *[o + "y" for o in others], parts.alias("part"))
+    return first.join(second, ["y", "part"])
+
+
 def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
     """The pairs that size and likelihood leave, and their estimated similarity."""
-    side = lambda c: unique.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select(
-        "x", "y", "nx", "ny", "rx", "ry"
-    )
+    both = _beside(pairs, unique.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.col("registers").alias("r")))
+    both = both.where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y", "nx", "ny", "rx", "ry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,15 +205,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * n >= percent * (len(p) + len(q) - n))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    # a document that many others are held against is dealt into parts
-    hubs = F.broadcast(split_hubs(pairs.groupBy("y").agg(F.count("*").alias("n")), "y", pairs.count()))
-    part = F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int")
-    first = pairs.join(hubs, "y", "left").select("x", "y", part.alias("part")).join(
-        sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x"
-    )
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
-    second = sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")).join(hubs, "y", "left").select("y", "sy", parts.alias("part"))
-    return mapped(first.join(second, ["y", "part"]).select("x", "y", "sx", "sy"), check, "x long, y long")
+    return mapped(_beside(pairs, sets.select("doc_id", "s")).select("x", "y", "sx", "sy"), check, "x long, y long")
 
 
 def _named(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +336,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keyed = unique.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     shared = cut(keyed.join(leaders.select("key", "leader"), "key").select("key", "band", "rep", "leader"))
-    stars = _likely(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), unique, percent)
+    led = cut(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct())
+    stars = _likely(led, unique, percent)
     # one leader for each document is enough to begin with: what else it links with is found across components
     to_leader = cut(stars.groupBy("x").agg(F.max(F.struct("j", -F.col("y"))).alias("top")).select("x", (-F.col("top.col2")).alias("y")))
     links = cut(_confirm(to_leader, docs, k, percent))
