@@ -289,14 +289,14 @@ def find(text: str | None, model: SpanModel) -> tuple[dict[str, list[tuple[int,
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans and n_added of every row."""
+    """doc_id, counts of the base kinds, base_sha256, spans, n_added and n_spans (all of them) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = SpanModel({r.signature: r.n for r in signatures(rows).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: dict[str, list[int]] = {k: [] for k in BASE}
-            shas, spans, added = [], [], []
+            shas, spans, added, total = [], [], [], []
             for t in (t for _, _, texts in pieces(b.column(1)) for t in texts):
                 base, more = find(t, model)
                 for k in BASE:
@@ -306,6 +306,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 more = [f"{k}:{a}:{e}" for k, a, e in sorted(more, key=lambda x: (KINDS.index(x[0]), x[1]))]
                 spans.append(",".join(said + more))
                 added.append(len(more))
+                total.append(len(said) + len(more))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -313,9 +314,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     pa.array(shas, pa.string()),
                     pa.array(spans, pa.string()),
                     pa.array(added, pa.int64()),
+                    pa.array(total, pa.int64()),
                 ],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return mapped(rows, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")

@@ -151,6 +151,7 @@ def test_pii_frame(spark):
         assert [got[i][f"n_{k}"] for k in pii.BASE] == [len(base[k]) for k in pii.BASE]
         assert got[i].base_sha256 == sha256(",".join(said).encode()).hexdigest()
         assert got[i].spans.split(",")[: len(said)] == (said or [""])[: len(said)]
+        assert got[i].n_spans == len([x for x in got[i].spans.split(",") if x]) == len(said) + got[i].n_added
     assert got[4].spans == "phone_national:5:19"
     assert got[5].spans == got[2].spans == ""
     assert pii.scan(frame(spark, [])).count() == 0
