@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lsnframe.llm.batches import mapped
-from lsnframe.sources.storage import checkpointed as cut
+from lsnframe.sources.storage import checkpointed
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows in reliable checkpoint files in the shared folder, without lineage.
+
+    Of so many rows as a shuffle has left (at most ``rows``), one file for each 50,000 is enough: every file costs
+    the file system several calls, and the next stage a task."""
+    return checkpointed(df if rows is None else df.coalesce(rows // 50_000 + 1))
 
 
 def unused(df: DataFrame, name: str) -> str:

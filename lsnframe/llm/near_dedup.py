@@ -181,7 +181,7 @@ def _likely(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs x, y whose full sets have 100 * intersection >= percent * union."""
-    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), 2 * pairs.count())
     ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,40 +327,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles, component_id and kept (the smallest id of its component) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = cut(sketches(docs, k))
-    classes = cut(
-        base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    )
+    n = base.count()
+    members = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash")
+    classes = cut(members.agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), n)
     unique = base.join(
         classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
     ).where("n_shingles > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     keyed = unique.select("rep", F.posexplode("bands").alias("band", "key"))
     leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(keyed.join(leaders.select("key", "leader"), "key").select("key", "band", "rep", "leader"))
-    led = cut(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct())
+    shared = cut(keyed.join(leaders.select("key", "leader"), "key").select("key", "band", "rep", "leader"), BANDS * n)
+    led = cut(shared.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct(), BANDS * n)
     stars = _likely(led, unique, percent)
     # one leader for each document is enough to begin with: what else it links with is found across components
-    to_leader = cut(stars.groupBy("x").agg(F.max(F.struct("j", -F.col("y"))).alias("top")).select("x", (-F.col("top.col2")).alias("y")))
+    to_leader = cut(stars.groupBy("x").agg(F.max(F.struct("j", -F.col("y"))).alias("top")).select("x", (-F.col("top.col2")).alias("y")), n)
     links = cut(_confirm(to_leader, docs, k, percent))
     found = components(links, "x", "y")
     named, still = _named(shared, found)
     short, failed = None, None
     while True:
-        still = cut(still)
+        still = cut(still, BANDS * n)
         if still.isEmpty():
             break
         if short is None:  # keys only ever close, so later rounds need no others
             short = cut(_short(docs, named.join(still, ["key", "band"]).select("rep").distinct(), k))
-        across = cut(_across(named, still, unique, short, failed, percent).distinct())
+        across = cut(_across(named, still, unique, short, failed, percent).distinct(), n)
         if across.isEmpty():
             break
         more = cut(_confirm(across, docs, k, percent))
         wrong = across.exceptAll(more)
-        links = cut(links.unionAll(more))
+        links = cut(links.unionAll(more), 2 * n)
         found = components(links, "x", "y")
-        wrong = cut(wrong)
+        wrong = cut(wrong, n)
         if wrong.isEmpty():  # every pair passed over lies in one component, every other one was judged
             break
-        failed = cut(wrong if failed is None else failed.unionAll(wrong))
+        failed = cut(wrong if failed is None else failed.unionAll(wrong), 2 * n)
         named, still = _named(shared, found)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select(
         "set_hash", F.coalesce("component", "rep").alias("component")
